@@ -1,0 +1 @@
+"""Reserved: the engine is batch only, since the embedding has no incremental form."""
