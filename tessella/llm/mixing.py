@@ -8,6 +8,8 @@ is sorted. No document order is ever gathered in one place, whatever share of ro
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,18 +34,16 @@ def targets(sizes: list[tuple], weights: tuple, share: float, most: float) -> li
     weight = [weights[i % len(weights)] for i in range(len(sizes))]
     due = [0.0] * len(sizes)
     left = share * sum(n for _, n in sizes)
-    free = [i for i, (_, n) in enumerate(sizes) if n > 0]
-    while free:
-        total = sum(weight[i] for i in free)
-        full = [i for i in free if left * weight[i] / total > most * sizes[i][1]]
-        if not full:
-            for i in free:
-                due[i] = left * weight[i] / total
-            break
-        for i in full:
+    heavy = float(sum(w for w, (_, n) in zip(weight, sizes) if n))
+    level = 0.0
+    # those that fill up at the lowest level first; once one does not fill up, none after it does
+    for i in sorted((i for i, (_, n) in enumerate(sizes) if n), key=lambda i: (most * sizes[i][1] / weight[i], i)):
+        level = level or left / heavy
+        if most * sizes[i][1] / weight[i] < level:
             due[i] = most * sizes[i][1]
-        left -= sum(due[i] for i in full)
-        free = [i for i in free if i not in set(full)]
+            left, heavy, level = left - due[i], heavy - weight[i], 0.0
+        else:
+            due[i] = weight[i] * level
     return due
 
 
@@ -57,17 +57,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     in part. A source without words has target 0. Rows with equal ids are separate documents; null texts
     have size 0; an empty table gives an empty result; other columns are not read.
     """
-    key = F.xxhash64(F.col("id").cast("string"), F.lit(17))
+    digest = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("null")))
+    key = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     # rows are kept apart by their key; equal ids are told apart by size alone, which is all that counts
-    base = materialize(base.withColumn("key", key).withColumn("bucket", F.shiftrightunsigned("key", 64 - BUCKET_BITS)))
+    base = materialize(base.withColumn("key", key).withColumn("bucket", F.shiftright("key", 60 - BUCKET_BITS)))
     per_bucket = base.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     per_source = per_bucket.groupBy("source").agg(F.sum("words").alias("words")).collect()  # one row a source
     order = sorted(per_source, key=lambda r: (r["source"] is None, r["source"] or ""))
     due = targets([(r["source"], r["words"]) for r in order], weights, share, most)
     rows = []
     for r, target in zip(order, due):
-        n, whole = r["words"], round(target)
+        n, whole = r["words"], math.floor(target + 0.5)
         rows.append((r["source"], n, target, whole // n if n else 0, whole % n if n else 0))
     spark = docs.sparkSession
     plan = spark.createDataFrame(rows, "source string, source_size long, target double, epochs long, rest long")
