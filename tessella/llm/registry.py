@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing
+from tessella.llm import bytepair, mixing, neighbours
 from tessella.llm.sql import ORACLES
 from tessella.session import load
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bytepair.round_trip(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")

@@ -37,4 +37,17 @@ SELECT doc_id, size, n AS source_size, target::DOUBLE AS target,
 FROM r
 """
 
-ORACLES: dict[str, str] = {"op8_mixing": MIXING}
+NEAREST = """
+WITH e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score
+  FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INTEGER AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op3_nearest": NEAREST, "op8_mixing": MIXING}
