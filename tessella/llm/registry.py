@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bytepair, mixing, neighbours
+from tessella.llm import bytepair, minhash, mixing, neighbours
 from tessella.llm.sql import ORACLES
 from tessella.session import load
 
@@ -21,6 +21,10 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"), k=5, num=85, den=100)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
