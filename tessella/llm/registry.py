@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bytepair, lines, minhash, mixing, neighbours
+from tessella.llm import bytepair, lines, minhash, mixing, neighbours, substrings
 from tessella.llm.sql import ORACLES
 from tessella.session import load
 
@@ -25,6 +25,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), k=5, num=85, den=100)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(load(spark, sf_dir, "documents"), length=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

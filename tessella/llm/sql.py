@@ -54,6 +54,18 @@ SELECT n.doc_id, n.n AS n_shingles, m.root AS component_id, n.doc_id = m.root AS
 FROM n JOIN (SELECT id, min(root) AS root FROM r GROUP BY id) m ON m.id = n.doc_id
 """
 
+REPEATS = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i, ws FROM d WHERE len(ws) >= 35),
+h AS (SELECT doc_id, i, md5_number(array_to_string(ws[i:i + 34], ' ')) AS h FROM w),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 35)))) AS gone FROM r GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)),
+         lambda z: gone IS NULL OR NOT list_contains(gone, z[2])), lambda z: z[1]), ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
 NEAREST = """
 WITH e AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
@@ -67,4 +79,4 @@ r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score,
 SELECT * FROM r WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op3_nearest": NEAREST, "op5_minhash": NEAR, "op8_mixing": MIXING}
+ORACLES: dict[str, str] = {"op3_nearest": NEAREST, "op5_minhash": NEAR, "op6_substrings": REPEATS, "op8_mixing": MIXING}
