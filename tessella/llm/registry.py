@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bytepair, imatch, lines, minhash, mixing, neighbours, substrings
+from tessella.llm import brown, bytepair, imatch, lines, minhash, mixing, neighbours, substrings
 from tessella.llm.sql import ORACLES
 from tessella.session import load
 
@@ -40,6 +40,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def crc_remainder(column: str, by: int):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % by
+
+
+def op9_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(load(spark, sf_dir, "documents"), held_out=crc_remainder("doc_id", 5) == 1)
+
+
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_report(load(spark, sf_dir, "documents"))
 
