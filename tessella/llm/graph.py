@@ -34,7 +34,7 @@ def connected_components(links: DataFrame) -> DataFrame:
             both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
         # small-star: a node and its smaller neighbours go to the smallest of them
-        edges = _kept(edges)
+        edges = materialize(edges)
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
@@ -46,10 +46,6 @@ def connected_components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return materialize(df)
-
-
 def _mark(edges: DataFrame) -> tuple:
     """Count and order-free checksum of the edges: one small row."""
     return tuple(

@@ -6,6 +6,13 @@
    similarity under a uniform prior is Beta(m + 1, n - m + 1); a pair goes as soon as the posterior
    probability of reaching the threshold is below ``MISS``.
 4. Survivors are verified on their full shingle sets, and links are closed to components.
+
+Bands shared by few documents give their pairs to a join. Bands shared by many do not: documents that
+such bands connect form a crowd, which is first compared with a few leaders, and then, as far as it is
+not one component yet, in tiles of two chunks of at most ``CHUNK`` documents or so. A tile tests its
+pairs in place and returns no more links than it has documents; chunks that already belong to one
+component are not compared with each other. So no group is gathered in one task, no pairs of a crowd
+become rows, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +35,11 @@ STEP = 25
 #: Chance to lose a pair at the threshold, at each of the steps.
 MISS = 1e-6
 
+#: Bands with more documents than this make a crowd.
+FEW = 32
+LEADERS = 8
+CHUNK = 256
+
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -141,7 +153,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def fits(a, b):
         return F.least(a, b) * den >= F.greatest(a, b) * num
 
-    components = graph.link_blocks(members, verify, fits)
+    counted = members.groupBy("block").agg(F.count("*").alias("m"))
+    small = members.join(counted.where(F.col("m") <= FEW), "block")
+    x, y = small.alias("x"), small.alias("y")
+    pairs = x.join(y, F.col("x.block") == F.col("y.block")).where((F.col("x.id") < F.col("y.id")) & fits(F.col("x.size"), F.col("y.size")))
+    links = materialize(verify(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()))
+    star = members.join(counted.where(F.col("m") > FEW).select("block"), "block")
+    star = star.join(star.groupBy("block").agg(F.min("id").alias("leader")), "block")
+    star = materialize(star.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
+    if star.limit(1).count():
+        size = one.select("id", F.col("n").alias("size"))
+        crowd = materialize(graph.connected_components(star).withColumnRenamed("component", "crowd").join(size, "id"))
+        links = materialize(links.union(verify(_led(crowd, fits))))
+        known = graph.connected_components(links)
+        crowd = crowd.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        links = links.union(materialize(_tiled(materialize(crowd), one, sets, num, den)))
+    components = materialize(graph.connected_components(links))
     labelled = classes.join(components.toDF("rep", "component"), "rep", "left").select("x", "y", F.coalesce("component", "rep").alias("component"))
     out = sigs.select("id", "n", "x", "y").join(labelled, ["x", "y"], "left")
     mine = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
@@ -150,6 +177,94 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _led(crowd: DataFrame, fits) -> DataFrame:
+    """Pairs (a, b) of each crowd's leaders with all its documents; leaders have the lowest hashes."""
+    order = F.xxhash64("id")
+    # a minimum of each of LEADERS hash classes: fixed buffers, summed before the shuffle
+    leaders = crowd.groupBy("crowd", F.pmod(order, F.lit(LEADERS)).alias("k")).agg(F.min("id").alias("leader"))
+    leaders = leaders.join(crowd.select(F.col("id").alias("leader"), F.col("size").alias("leader_size")), "leader")
+    pairs = crowd.join(leaders, "crowd").where((F.col("id") != F.col("leader")) & fits(F.col("size"), F.col("leader_size")))
+    return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+
+
+def _tiled(crowd: DataFrame, signatures: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) across the components of each crowd (id, crowd, size, component)."""
+    each = crowd.groupBy("crowd", "component").agg(F.count("*").alias("m"))
+    open_ = each.groupBy("crowd").agg(F.count("*").alias("kinds")).where("kinds > 1").select("crowd")
+    # a large component has chunks of its own (pool: the component), the rest of a crowd shares chunks (pool null)
+    each = each.join(open_, "crowd").withColumn("pool", F.when(F.col("m") >= CHUNK, F.col("component")))
+    pools = each.groupBy("crowd", "pool").agg(F.sum("m").alias("m")).withColumn("chunks", F.ceil(F.col("m") / CHUNK))
+    placed = crowd.join(each.select("crowd", "component", "pool"), ["crowd", "component"])
+    p = pools.select(F.col("crowd").alias("c"), F.col("pool").alias("p"), "chunks")
+    placed = placed.join(p, (F.col("crowd") == F.col("c")) & F.col("pool").eqNullSafe(F.col("p")))
+    part = F.pmod(F.xxhash64("id", F.lit(3)), F.col("chunks"))
+    placed = placed.select("id", "component", "crowd", "pool", F.xxhash64("crowd", "pool", part).alias("chunk"))
+    data = placed.join(signatures.select("id", "n", "sig"), "id").join(sets, "id")
+    packed = materialize(
+        data.groupBy("chunk").agg(
+            F.min("crowd").alias("crowd"), F.min("pool").alias("pool"),
+            F.collect_list(F.struct("id", "component", "n", "sig", "shingles")).alias("rows"),
+        )
+    )
+    x, y = (packed.select("crowd", "pool", "chunk").alias(k) for k in "xy")
+    tiles = x.join(y, F.col("x.crowd") == F.col("y.crowd")).where(
+        (F.col("x.chunk") <= F.col("y.chunk")) & ~F.coalesce(F.col("x.pool") == F.col("y.pool"), F.lit(False))
+    )
+    tiles = tiles.select(F.col("x.chunk").alias("first"), F.col("y.chunk").alias("second"))
+    left = packed.select(F.col("chunk").alias("first"), F.col("rows").alias("left"))
+    right = packed.select(F.col("chunk").alias("second"), F.col("rows").alias("right"))
+    both = tiles.join(left, "first").join(right, "second").select("left", "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = tile_links(*(batch.column(c).slice(i, 1).flatten() for c in (0, 1)), num, den)
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found)] if found else [pa.array([], pa.int64())] * 2, ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def tile_links(left: pa.StructArray, right: pa.StructArray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between two chunks (or within one), enough to connect all that link across components."""
+    (ia, ca, na, sa, ga), (ib, cb, nb, sb, gb) = ([x.field(k) for k in range(5)] for x in (left, right))
+    ia, ca, na, ib, cb, nb = (v.to_numpy(zero_copy_only=False) for v in (ia, ca, na, ib, cb, nb))
+    may = (ca[:, None] != cb) & (np.minimum(na[:, None], nb) * den >= np.maximum(na[:, None], nb) * num)
+    if len(ia) == len(ib) and (ia == ib).all():
+        may = np.triu(may, 1)
+    i, j = np.nonzero(may)
+    sa, sb = _matrix(sa), _matrix(sb)
+    keep = np.concatenate([plausible(sa[i[k : k + 65536]], sb[j[k : k + 65536]], num / den) for k in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+    i, j = i[keep], j[keep]
+    alike = np.array([(sa[x] == sb[y]).sum() for x, y in zip(i, j)])
+    order = np.argsort(-alike, kind="stable")
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (up := root.get(v, v)) != v:
+            root[v] = root.get(up, up)
+            v = up
+        return v
+
+    shingles: dict[tuple, frozenset] = {}
+
+    def of(side: int, k: int) -> frozenset:
+        if (side, k) not in shingles:
+            shingles[side, k] = frozenset(np.frombuffer((ga, gb)[side][k].as_py(), np.uint64).tolist())
+        return shingles[side, k]
+
+    found = []
+    for x, y in zip(i[order].tolist(), j[order].tolist()):
+        u, v = find(int(ca[x])), find(int(cb[y]))
+        if u == v:
+            continue
+        p, q = of(0, x), of(1, y)
+        common = len(p & q)
+        if den * common >= num * (len(p) + len(q) - common):
+            root[max(u, v)] = min(u, v)
+            found.append((int(ia[x]), int(ib[y])))
+    return found
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
