@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 
 from tessella.session import materialize
 
-#: Blocks with at most this many untested pairs a member are compared pair by pair.
-DENSE = 16
-#: Rounds of comparing large blocks with one leader each, before what is left is compared in full.
-ROUNDS = 6
+#: Blocks with more ids than this are compared with a leader first.
+FEW = 32
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -53,72 +51,43 @@ def _mark(edges: DataFrame) -> tuple:
     )
 
 
-def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable | None = None) -> DataFrame:
-    """Components of the ids in ``members`` (block, id, size), linking ids that share a block.
+def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Callable) -> DataFrame:
+    """Components of the ids in ``members`` (block, id, payload), linking ids that share a block.
 
-    ``verify`` takes candidate pairs (a, b) with a < b and returns those that truly link.
-    ``fits(size_a, size_b)`` is a condition without which a pair cannot link. Every pair that shares a
-    block is either verified or already in one component by other links, so components are exactly
-    those of all true links among the candidates. Large blocks are first compared with one leader a
-    round, which is linear in the block; the leader is then done there. Pairs across the components
-    that remain are compared in full once they are few for the block's size, or after ``ROUNDS``.
+    ``may(x, y)`` is the condition on two rows, as functions from a column's name, for a pair to be a
+    candidate; ``verify`` takes candidate pairs (a, b) with a < b and returns those that truly link.
+    Blocks of up to ``FEW`` ids are joined with themselves. A larger block is first compared with one
+    leader; then its ids join across the components known by then. The join emits no pair that fails
+    ``may`` or is in one component already, so every true candidate is verified or linked otherwise.
     Returns (id, component) for ids that have a link.
     """
-    fits = fits or (lambda a, b: F.lit(True))
-    active = members.select("block", "id", "size", F.col("id").alias("component"))
-    links = None
-    components = None
-    for k in range(ROUNDS + 1):
-        if k:
-            active = _relabelled(active, components)
-        each = active.groupBy("block", "component").agg(F.count("*").alias("n"))
-        stat = each.groupBy("block").agg(
-            F.sum("n").alias("m"),
-            F.sum(F.col("n") * F.col("n")).alias("squares"),
-            F.count("*").alias("kinds"),
-        )
-        stat = stat.where("kinds > 1").select(
-            "block", ((F.col("m") * F.col("m") - F.col("squares")) / 2 <= F.lit(DENSE) * F.col("m")).alias("few")
-        )
-        active = materialize(active.drop("few", "leader").join(stat, "block"))
-        n = {r["few"]: r["n"] for r in active.groupBy("few").agg(F.count("*").alias("n")).collect()}
-        if not n:
-            break
-        last = k == ROUNDS
-        dense = active if last else active.where("few")
-        x, y = dense.alias("x"), dense.alias("y")
-        pairs = x.join(y, F.col("x.block") == F.col("y.block")).where(
-            (F.col("x.id") < F.col("y.id"))
-            & (F.col("x.component") != F.col("y.component"))
-            & fits(F.col("x.size"), F.col("y.size"))
-        )
-        pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        rest = None
-        if n.get(False) and not last:
-            rest = active.where("not few")
-            order = F.xxhash64("id", F.lit(k))
-            # the smallest hash, then that id: fixed-length buffers, so the partial sums stay small
-            low = rest.groupBy("block").agg(F.min(order).alias("low"))
-            leader = rest.join(low, "block").where(order == F.col("low")).groupBy("block").agg(
-                F.min("id").alias("leader"), F.min("size").alias("leader_size"), F.min("component").alias("leader_component")
-            )
-            rest = materialize(rest.join(leader, "block"))
-            star = rest.where((F.col("component") != F.col("leader_component")) & fits(F.col("size"), F.col("leader_size")))
-            pairs = pairs.union(star.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")))
-            rest = rest.where("id <> leader").select("block", "id", "size", "component")
-        found = materialize(verify(pairs.distinct()))
-        links = found if links is None else links.union(found)
-        components = materialize(connected_components(links))
-        if rest is None:
-            break
-        active = rest
-    if components is None:
-        components = active.select("id", "component").where("false")
+    counted = members.groupBy("block").agg(F.count("*").alias("m"))
+    small = members.join(counted.where(F.col("m") <= FEW).select("block"), "block").withColumn("component", F.col("id"))
+    big = materialize(members.join(counted.where(F.col("m") > FEW).select("block"), "block"))
+    pairs = _crossing(small, may)
+    crowded = big.limit(1).count() > 0
+    if crowded:
+        leader = big.groupBy("block").agg(F.min("id").alias("id"))
+        leader = big.join(leader, ["block", "id"]).dropDuplicates(["block"]).withColumn("component", F.col("id"))
+        pairs = pairs.union(_crossing(leader, may, big.withColumn("component", F.col("id"))))
+    links = materialize(verify(pairs.distinct()))
+    components = materialize(connected_components(links))
+    if crowded:
+        known = big.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        several = known.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        known = materialize(known.join(several.select("block"), "block"))
+        more = materialize(verify(_crossing(known, may).distinct()))
+        if more.limit(1).count():
+            components = materialize(connected_components(links.union(more)))
     return components
 
 
-def _relabelled(active: DataFrame, components: DataFrame) -> DataFrame:
-    new = components.select("id", F.col("component").alias("now"))
-    return active.join(new, "id", "left").select(
-        "block", "id", "size", F.coalesce("now", "component").alias("component")
+def _crossing(left: DataFrame, may: Callable, right: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of two tables' rows in one block and different components."""
+    x, y = left.alias("x"), (left if right is None else right).alias("y")
+    found = x.join(y, F.col("x.block") == F.col("y.block")).where(
+        (F.col("x.id") < F.col("y.id"))
+        & (F.col("x.component") != F.col("y.component"))
+        & may(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
     )
+    return found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
