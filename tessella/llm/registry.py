@@ -6,11 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import brown, bytepair, imatch, lines, minhash, mixing, neighbours, substrings
+from tessella.llm import brown, bytepair, imatch, lines, minhash, mixing, neighbours, substrings, toxicity
 from tessella.llm.sql import ORACLES
 from tessella.session import load
 
 
+def crc_remainder(column: str, by: int):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % by
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bytepair.round_trip(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -21,6 +25,13 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    net = toxicity.train(docs, labels.where(crc_remainder("doc_id", 5) != 0))
+    out = toxicity.score(docs, net)
+    return out.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), k=5, num=85, den=100)
 
@@ -40,10 +51,6 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-def crc_remainder(column: str, by: int):
-    return F.crc32(F.col(column).cast("string").cast("binary")) % by
-
-
 def op9_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(load(spark, sf_dir, "documents"), held_out=crc_remainder("doc_id", 5) == 1)
 

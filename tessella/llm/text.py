@@ -85,12 +85,13 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         first = last
 
 
-def words(part: Slice) -> Words:
+def words(part: Slice, solid_bytes: np.ndarray | None = None) -> Words:
+    """Maximal runs of solid bytes; by default, of all that are not white space."""
     n = len(part.data)
     if not n:
         zero = np.zeros(0, np.int64)
         return Words(zero, zero, np.zeros(part.last - part.first + 1, np.int64))
-    solid = ~_SPACE[part.data]
+    solid = (~_SPACE if solid_bytes is None else solid_bytes)[part.data]
     edge = np.zeros(n + 1, bool)
     edge[part.offsets] = True
     begins = solid.copy()
