@@ -27,9 +27,8 @@ HIDDEN, EMBED = 8, 8
 VOCABULARY, TRIGRAMS = 4096, 2048
 #: Training texts that a vocabulary word is in, at least.
 LEAST_TEXTS = 8
-EPOCHS = 8
-#: Epochs without a better validation loss before training ends.
-PATIENCE = 2
+#: Passes over the sample, and steps, to make at least; steps without a better validation loss that end training.
+EPOCHS, STEPS, PATIENCE = 8, 600, 150
 
 _SOLID = np.zeros(256, bool)
 _SOLID[48:58] = _SOLID[65:91] = _SOLID[97:123] = _SOLID[128:] = True
@@ -215,7 +214,7 @@ class Network:
         place = self.word_index(t.kinds)
         lengths = np.diff(np.append(t.firsts, len(t.trigrams)))
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        step, best, stale = 0, None, 0
+        step, best, stale, epoch = 0, None, 0, 0
         share = y[learn].mean() if learn.any() else 0.5
         weights = np.where(y == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6))
         hint = self._word_hints(t, y, learn)
@@ -228,7 +227,8 @@ class Network:
             logit[inside] = np.maximum(logit[inside], known[t.inverse[first[inside] + s]])
         self.p["word"][place[seeds], 0] = np.clip(hint[seeds], -1, 3)
         mine = np.flatnonzero(learn[text])
-        for epoch in range(EPOCHS):
+        while (epoch < EPOCHS or step < STEPS) and len(mine):
+            epoch, began = epoch + 1, step
             order = mine[np.lexsort((-(logit[mine] + rng.random(len(mine)) * 1e-3), text[mine]))]
             top = order[np.flatnonzero(np.append(True, text[order][1:] != text[order][:-1]))]
             extra = rng.choice(mine, min(len(mine), 2 * len(y)), replace=False)
@@ -256,8 +256,8 @@ class Network:
             if best is None or loss < best[0] - 1e-4:
                 best, stale = (loss, {k: v.copy() for k, v in self.p.items()}, self.scale, self.shift), 0
             else:
-                stale += 1
-                if stale >= PATIENCE:
+                stale += step - began
+                if stale >= PATIENCE and step >= STEPS // 3:
                     break
         if best:
             _, self.p, self.scale, self.shift = best
