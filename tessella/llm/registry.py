@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import brown, bytepair, imatch, lines, minhash, mixing, neighbours, substrings, toxicity
+from tessella.llm import brown, bytepair, imatch, lines, minhash, mixing, neighbours, substrings, tokenids, toxicity
 from tessella.llm.sql import ORACLES
 from tessella.session import load
 
@@ -15,6 +15,11 @@ def crc_remainder(column: str, by: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
+def op1_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return tokenids.digest(tokenids.write(load(spark, sf_dir, "documents"), vocabulary, tokenids.folder(spark)))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bytepair.round_trip(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
