@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.text import Slice, slices, word_hashes, words
+from tessella.session import materialize
 
 #: Bounds of the training sample: texts of each label, and characters of all.
 SAMPLE_TEXTS, SAMPLE_CHARS = 2000, 32_000_000
@@ -66,6 +67,21 @@ def tokenize(part: Slice) -> Tokens:
     return Tokens(kinds, (key ^ (key >> 13)) % TRIGRAMS, firsts, inverse, found.bounds)
 
 
+def merged(parts: list[Tokens]) -> Tokens:
+    """The tokens of several slices as those of one."""
+    kinds, first, back = np.unique(np.concatenate([p.kinds for p in parts]), return_index=True, return_inverse=True)
+    trigrams = np.concatenate([p.trigrams for p in parts])
+    length = np.concatenate([np.diff(np.append(p.firsts, len(p.trigrams))) for p in parts])
+    begin = (np.cumsum(length) - length)[first]
+    size = length[first]
+    firsts = np.cumsum(size) - size
+    at = np.arange(size.sum()) - np.repeat(firsts, size) + np.repeat(begin, size)
+    shift = np.cumsum([0] + [len(p.kinds) for p in parts])
+    inverse = np.concatenate([back[p.inverse + d] for p, d in zip(parts, shift)])
+    counts = np.concatenate([np.diff(p.bounds) for p in parts])
+    return Tokens(kinds, trigrams[at], firsts, inverse, np.concatenate([[0], np.cumsum(counts)]))
+
+
 def window_table(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, words, text) of every window; a text without words has one empty window."""
     n = np.diff(bounds)
@@ -320,22 +336,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ``SAMPLE_CHARS`` characters go. Rows with a null id, text or label are left out. Without any
     labelled text, the network stays as it was drawn; equal tables give equal networks.
     """
-    lab = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    counts = {int(r["y"]): r["n"] for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    lab = lab.withColumn("h", F.xxhash64("id", F.lit(11)))
-    rank = Window.partitionBy("y").orderBy("h", "id")
-    # a little more than the sample, as some labels may have no text
-    near = lab.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= 2 * SAMPLE_TEXTS)
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(near.select("id", "y", "h"), "id")
-    texts = texts.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= SAMPLE_TEXTS)
-    total = F.sum(F.length("text")).over(Window.orderBy("r", "y").rowsBetween(Window.unboundedPreceding, 0))
+    lab = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    lab = lab.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y")).withColumn("h", F.xxhash64("id", F.lit(11)))
+    counts = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    # twice the sample, as some labels may have no text; at most 4 * SAMPLE_TEXTS rows of numbers are broadcast
+    near = lab.where("y = 1").orderBy("h", "id").limit(2 * SAMPLE_TEXTS).union(lab.where("y = 0").orderBy("h", "id").limit(2 * SAMPLE_TEXTS))
+    found = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(near), "id")
+    found = materialize(found)
+    texts = found.where("y = 1").orderBy("h", "id").limit(SAMPLE_TEXTS).union(found.where("y = 0").orderBy("h", "id").limit(SAMPLE_TEXTS))
+    total = F.sum(F.length("text")).over(Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
     rows = texts.withColumn("total", total).where(F.col("total") <= SAMPLE_CHARS).orderBy("h", "id").select("text", "y").toArrow()
     y = rows.column("y").to_numpy().astype(np.int64)
-    column = rows.column("text").combine_chunks().cast(pa.large_string()) if len(y) else pa.array([], pa.large_string())
-    parts = list(slices(column, 1 << 40))
-    if not parts:
+    if not len(y):
         return Network(np.zeros(0, np.uint64))
-    t = tokenize(parts[0])
+    t = merged([tokenize(part) for part in slices(rows.column("text"))])
     text = np.repeat(np.arange(len(y)), np.diff(t.bounds))
     pair = np.unique(t.inverse * (len(y) + 1) + text)
     in_texts = np.bincount(pair // (len(y) + 1), minlength=len(t.kinds))
