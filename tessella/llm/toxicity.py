@@ -27,7 +27,7 @@ WINDOW, STRIDE = 24, 12
 HIDDEN, EMBED = 8, 8
 VOCABULARY, TRIGRAMS = 4096, 2048
 #: Training texts that a vocabulary word is in, at least.
-LEAST_TEXTS = 8
+LEAST_TEXTS = 3
 #: Passes over the sample, and steps, to make at least; steps without a better validation loss that end training.
 EPOCHS, STEPS, PATIENCE = 8, 600, 150
 
