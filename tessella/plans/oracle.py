@@ -100,7 +100,7 @@ TREE = (
     "FROM mo, range({}) r(level) GROUP BY 1, 2)"
 )
 ATTRACT = (
-    "at AS MATERIALIZED (SELECT e.i AS id, -12.0::DOUBLE * sum(w * (s.y0 - t.y0)) AS a0, -12.0::DOUBLE * sum(w * (s.y1 - t.y1)) AS a1 FROM "
+    "att AS MATERIALIZED (SELECT e.i AS id, -12.0::DOUBLE * sum(w * (s.y0 - t.y0)) AS a0, -12.0::DOUBLE * sum(w * (s.y1 - t.y1)) AS a1 FROM "
     "(SELECT jo.*, p / (1 + (u.y0 - v.y0) * (u.y0 - v.y0) + (u.y1 - v.y1) * (u.y1 - v.y1)) AS w FROM jo JOIN y u ON u.id = i JOIN y v ON v.id = j) e "
     "JOIN y s ON s.id = e.i JOIN y t ON t.id = e.j GROUP BY e.i)"
 )
@@ -108,7 +108,7 @@ REPULSE = (
     "re AS MATERIALIZED (SELECT id, sum(q * q * x0) AS f0, sum(q * q * x1) AS f1, sum(q) AS z FROM (SELECT s.id, 1 / (1 + (s.y0 - t.y0) * (s.y0 - t.y0) "
     "+ (s.y1 - t.y1) * (s.y1 - t.y1)) AS q, s.y0 - t.y0 AS x0, s.y1 - t.y1 AS x1 FROM y s JOIN y t ON s.id <> t.id) GROUP BY id)"
 )
-GRADIENT = "gr AS MATERIALIZED (SELECT id, a0 + f0 / total AS g0, a1 + f1 / total AS g1 FROM re JOIN at USING (id), (SELECT sum(z) AS total FROM re))"
+GRADIENT = "gr AS MATERIALIZED (SELECT id, a0 + f0 / total AS g0, a1 + f1 / total AS g1 FROM re JOIN att USING (id), (SELECT sum(z) AS total FROM re))"
 
 
 def _barnes_hut() -> str:
@@ -174,7 +174,7 @@ def statements() -> dict[str, str]:
         "affinity_conditional": _with(joint, "SELECT i, j, round(p, 9) AS p FROM co"),
         "affinity_joint": _with(joint, "SELECT i, j, round(p, 12) AS p FROM jo"),
         "init_random": _with(_layout(3), f"SELECT id, {_r('y0')}, {_r('y1')}, {_r('y2')} FROM y"),
-        "attractive_step": _with(f"{joint}, {y2}, {ATTRACT}", f"SELECT id, {_r('a0', 9)}, {_r('a1', 9)} FROM at"),
+        "attractive_step": _with(f"{joint}, {y2}, {ATTRACT}", f"SELECT id, {_r('a0', 9)}, {_r('a1', 9)} FROM att"),
         "repulsion_exact": _with(f"{y2}, {REPULSE}", f"SELECT id, {_r('f0')}, {_r('f1')}, {_r('z')} FROM re"),
         "bh_morton": _with(f"{y2}, {CODED}", "SELECT id, code FROM mo"),
         "bh_cells": _with(f"{y2}, {CODED}, {TREE.format(9)}", f"SELECT level, cell, n, {_r('c0')}, {_r('c1')} FROM lv"),
