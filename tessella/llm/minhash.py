@@ -132,12 +132,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sigs = materialize(signed(base, k))
-    full = sigs.where("n > 0 and id is not null")
-    classes = materialize(full.groupBy("x", "y").agg(F.min("id").alias("rep")))
-    one = full.join(classes, ["x", "y"]).where("id = rep").select("id", "n", "sig")
-    one = materialize(one)
+    # rows of one class have one set, so any row's size and signature stand for all
+    one = materialize(
+        sigs.where("n > 0 and id is not null").groupBy("x", "y").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    )
     bands = banded(one)
-    shared = bands.groupBy("block").agg(F.count("*").alias("c")).where("c > 1").select("block")
+    shared = bands.groupBy("block").agg(F.count("*").alias("m"), F.min("id").alias("leader")).where("m > 1")
     members = materialize(bands.join(shared, "block"))
     ids = members.select("id").distinct()
     wanted = base.join(ids.hint("shuffle_hash"), "id", "left_semi")
@@ -153,23 +153,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def fits(a, b):
         return F.least(a, b) * den >= F.greatest(a, b) * num
 
-    counted = members.groupBy("block").agg(F.count("*").alias("m"))
-    small = members.join(counted.where(F.col("m") <= FEW), "block")
+    small = members.where(F.col("m") <= FEW)
     x, y = small.alias("x"), small.alias("y")
     pairs = x.join(y, F.col("x.block") == F.col("y.block")).where((F.col("x.id") < F.col("y.id")) & fits(F.col("x.size"), F.col("y.size")))
     links = materialize(verify(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()))
-    star = members.join(counted.where(F.col("m") > FEW).select("block"), "block")
-    star = star.join(star.groupBy("block").agg(F.min("id").alias("leader")), "block")
-    star = materialize(star.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
+    star = materialize(members.where(F.col("m") > FEW).select(F.col("id").alias("a"), F.col("leader").alias("b")))
     if star.limit(1).count():
         size = one.select("id", F.col("n").alias("size"))
-        crowd = materialize(graph.connected_components(star).withColumnRenamed("component", "crowd").join(size, "id"))
+        crowd = materialize(graph.contracted_components(star).withColumnRenamed("component", "crowd").join(size, "id"))
         links = materialize(links.union(verify(_led(crowd, fits))))
-        known = graph.connected_components(links)
-        crowd = crowd.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        links = links.union(materialize(_tiled(materialize(crowd), one, sets, num, den)))
-    components = materialize(graph.connected_components(links))
-    labelled = classes.join(components.toDF("rep", "component"), "rep", "left").select("x", "y", F.coalesce("component", "rep").alias("component"))
+        components = graph.contracted_components(links)
+        crowd = crowd.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        more = materialize(_tiled(materialize(crowd), one, sets, num, den))
+        if more.limit(1).count():
+            components = graph.contracted_components(links.union(more))
+    else:
+        components = graph.contracted_components(links)
+    labelled = one.select("id", "x", "y").join(components, "id", "left").select("x", "y", F.coalesce("component", "id").alias("component"))
     out = sigs.select("id", "n", "x", "y").join(labelled, ["x", "y"], "left")
     mine = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     return out.select(
