@@ -30,17 +30,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     )
     mark = _mark(edges)
     while mark[0]:
+        parts = -(-mark[0] // CHUNK)  # tasks follow the number of links, not the width of shuffles
+        edges = edges.coalesce(parts)
         # large-star: each larger neighbour of a node goes to the node's smallest neighbour
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
+        grown = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small-star: a node and its smaller neighbours go to the smallest of them
-        edges = materialize(edges)
+        edges = materialize(grown.coalesce(2 * parts).distinct().coalesce(parts))
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = materialize(moved.union(least.select("u", F.col("m").alias("v"))).coalesce(2 * parts).distinct().coalesce(parts))
         now = _mark(edges)
         if now == mark:
             break
