@@ -147,6 +147,26 @@ def test_near_lines_go_and_others_stay(spark, odd, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_meet_all_lines_within_the_edits(spark, docs):
+    rng = np.random.default_rng(5)
+    own = {x for r in docs.where("text is not null").collect() for x in r["text"].split("\n") if x.count(" ") >= 5 and 60 < len(x) < 1000}
+    rows = []
+    for i, line in enumerate(sorted(own)[:150]):
+        words = line.split(" ")
+        for w in rng.choice(len(words), max(1, len(line) // 80), replace=False):  # one letter of each
+            at = rng.integers(len(words[w])) if words[w] else 0
+            words[w] = words[w][:at] + "q" + words[w][at + 1 :]
+        rows += [(2 * i, line), (2 * i + 1, " ".join(words))]
+    short = ["we all like red plums", "we all lyke red plums"]
+    rows += [(1000, short[0]), (1001, short[1])]
+    base = spark.createDataFrame(rows, "doc long, text string")
+    gone = {r["doc"] for r in lines.duplicate_lines(base).collect()}
+    want = base.select("doc", lines.normal_form("text").alias("line"))
+    pairs = want.toDF("a", "line_a").crossJoin(want.toDF("b", "line_b")).where("a < b")
+    near = pairs.where("levenshtein(line_a, line_b, cast(floor(greatest(length(line_a), length(line_b)) * 0.1) as int)) >= 0").select("a", "b").collect()
+    assert len(near) >= 140 and {r["b"] for r in near} == gone
+
+
 def test_lines_longer_than_a_lane(spark):
     words = [f"w{i % 700}" for i in range(1500)]
     rows = [(1, " ".join(words)), (2, " ".join(words) + " more"), (3, ", ".join(words))]
