@@ -167,6 +167,16 @@ def test_lines_meet_all_lines_within_the_edits(spark, docs):
     assert len(near) >= 140 and {r["b"] for r in near} == gone
 
 
+def test_short_and_spaceless_lines_go(spark):
+    zh = "今天的天气非常好我们一起去公园散步然后在湖边的小餐馆里吃午饭下午再去图书馆看书晚上回家休息并且给远方的朋友写一封很长的信说说近况"
+    rows = [
+        (1, f"All rights reserved.\n\n---\nyes\n{zh}"), (2, f"all rights reserved\n\n---\nYes!\n{zh.replace('湖', '河')}"),
+        (3, f"***\n{zh[:30]}\n \t\nyet"), (4, f"{zh[:12]}山{zh[13:30]}\n \t\n\u3000\n\u3000"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: rows[2][1], 4: " \t\n\u3000\n\u3000"}
+
+
 def test_lines_longer_than_a_lane(spark):
     words = [f"w{i % 700}" for i in range(1500)]
     rows = [(1, " ".join(words)), (2, " ".join(words) + " more"), (3, ", ".join(words))]
