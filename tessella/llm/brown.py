@@ -1,16 +1,23 @@
 """Language-model scores from Brown class bigrams.
 
-The ``LISTED`` commonest words are put into ``CLASSES`` classes by the exchange algorithm, which moves one
-word at a time to the class that raises the likelihood of the class bigrams most. All other words,
-however many the corpus has, fall into classes by their last byte, and a text's end is a class of its
-own. A token's probability is P(its class | the class before) * P(token | its class):
+Every word that the training texts have ``SEEN`` times or more has a class of its context, so that the
+clustered vocabulary grows with the corpus, and the number of classes with its fourth root:
+
+* the ``CORE`` commonest words are put into classes by the exchange algorithm, which moves one word at a
+  time to the class that raises the likelihood of the class bigrams most;
+* each further one goes to the class that raises it most to first order, by the classes of its neighbours,
+  counted and compared in tasks.
+
+Only rarer words, which have too few neighbours to tell, fall into classes by their last byte, and a text's end is
+a class of its own. A token's probability is P(its class | the class before) * P(token | its class):
 
 * transitions are interpolated with the class's own share, for a class never seen too;
 * a listed word has its share of its class; another word c - D of its class, where D is the absolute
   discount n1 / (n1 + 2 n2) of the counts of counts; what is discounted is the share of unseen words.
 
-Every count is taken over all training texts. Counts of unlisted words stay distributed and meet the
-texts in a join; only the listed words' bigram table, bounded by its dimensions, goes to the driver.
+Every count is taken over all training texts. Counts of rarer words stay distributed and meet the
+texts in a join; the class and count of each listed word, and bigram tables of the core and of classes, go
+to the driver.
 """
 
 from __future__ import annotations
@@ -27,7 +34,11 @@ from pyspark.sql import functions as F
 from tessella.llm.text import Slice, mix64, owners, slices, word_hashes, words
 from tessella.session import materialize
 
-LISTED = 2048
+#: Words that are exchanged.
+CORE = 2048
+#: Occurrences that give a word a class of its context.
+SEEN = 5
+#: Classes of ``CORE`` words; more words have more.
 CLASSES = 48
 ENDINGS = 16
 PASSES = 4
@@ -38,7 +49,7 @@ HELD = 1 << 22
 
 @dataclass
 class Model:
-    """What scoring needs of the corpus besides the counts of unlisted words; of fixed size."""
+    """What scoring needs of the corpus besides the counts of unlisted words; it grows with the listed ones."""
 
     listed: np.ndarray  # sorted hashes
     group: np.ndarray  # class of each listed word, then of each ending, then of the end
@@ -170,43 +181,138 @@ def exchange(table: np.ndarray, n: int, classes: int = CLASSES, passes: int = PA
     return group
 
 
-def fit(texts: DataFrame, counts: DataFrame, listed_words: int = LISTED) -> Model:
+def context_classes(texts: DataFrame, core: np.ndarray, group: np.ndarray, g: np.ndarray, listed: np.ndarray, classes: int) -> np.ndarray:
+    """Class, below ``classes``, of each of the ``listed`` words that are not in the core.
+
+    A word's counts of classes before and after it are summed over all texts; its class is the one where adding them
+    raises the likelihood of the class bigrams ``g`` most, to first order.
+    """
+    k = len(g)
+    share = (g.sum(axis=0) + 0.5) / (g.sum() + 0.5 * k)
+    after = np.log((g + PRIOR * share) / (g.sum(axis=1, keepdims=True) + PRIOR))[:classes]
+    share = (g.sum(axis=1) + 0.5) / (g.sum() + 0.5 * k)
+    before = np.log((g.T + PRIOR * share) / (g.sum(axis=0)[:, None] + PRIOR))[:classes]
+    sc = texts.sparkSession.sparkContext
+    spread = sc.broadcast((core, group, listed, np.concatenate([before, after], 1).T))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core, group, listed, _ = spread.value
+        held: list[np.ndarray] = []
+        n = 0
+
+        def out() -> pa.RecordBatch:
+            key, c = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key // (2 * k)), pa.array(key % (2 * k)), pa.array(c)], ["at", "slot", "c"])
+
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                index, _, hashes, place = token_indexes(part, core)
+                cls = group[index]
+                at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
+                new = np.flatnonzero((listed[at] == hashes) & (index[place] >= len(core)))
+                at, where = at[new], place[new]
+                # the end of its text, if nothing else, comes after each word
+                left = np.where(where > 0, cls[where - 1], group[-1])
+                held += [at * (2 * k) + left, at * (2 * k) + k + cls[where + 1]]
+                n += 2 * len(at)
+                if n >= HELD:
+                    yield out()
+                    n = 0
+        if held:
+            yield out()
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gain = spread.value[3]
+
+        def best(at: np.ndarray, slot: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            total = np.add.reduceat(gain[slot] * c[:, None], first, axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(at[first]), pa.array(total.argmax(axis=1))], ["at", "class"])
+
+        rest = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            at, slot, c = (np.concatenate([r, batch.column(i).to_numpy()]) for i, r in enumerate(rest))
+            cut = int(np.searchsorted(at, at[-1])) if len(at) else 0  # the last word may go on
+            if cut:
+                yield best(at[:cut], slot[:cut], c[:cut])
+            rest = [at[cut:], slot[cut:], c[cut:]]
+        if len(rest[0]):
+            yield best(*rest)
+
+    counted = texts.mapInArrow(count, "at long, slot long, c long").groupBy("at", "slot").agg(F.sum("c").alias("c"))
+    rows = counted.repartition("at").sortWithinPartitions("at").mapInArrow(choose, "at long, class long").toArrow()
+    out = np.full(len(listed), -1, np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("class").to_numpy()
+    return out
+
+
+def class_bigrams(texts: DataFrame, listed: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
+    """Counts of the classes of adjacent tokens."""
+    spread = texts.sparkSession.sparkContext.broadcast((listed, group))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, group = spread.value
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                cls = group[token_indexes(part, listed)[0]]
+                total += np.bincount(np.append(group[-1], cls[:-1]) * k + cls, minlength=k * k)
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], ["pair", "c"])
+
+    rows = texts.mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    table = np.zeros(k * k)
+    table[rows.column("pair").to_numpy()] = rows.column("c").to_numpy()
+    return table.reshape(k, k)
+
+
+def fit(texts: DataFrame, counts: DataFrame, core_words: int = CORE) -> Model:
     """The model of training texts (text) with their word counts (word, c)."""
-    top = counts.orderBy(F.desc("c"), "word").limit(listed_words).toArrow()
-    order = np.argsort(top.column("word").to_numpy().astype(np.int64).view(np.uint64))
-    listed = top.column("word").to_numpy().astype(np.int64).view(np.uint64)[order]
-    c = top.column("c").to_numpy().astype(np.float64)[order]
+    top = counts.orderBy(F.desc("c"), "word").limit(core_words).toArrow()
+    core = np.sort(top.column("word").to_numpy().astype(np.int64).view(np.uint64))
+    often = counts.where(F.col("c") >= SEEN).toArrow()
+    words_, c = (np.concatenate([t.column(i).to_numpy() for t in (top, often)]).astype(np.int64) for i in ("word", "c"))
+    listed, first = np.unique(words_.view(np.uint64), return_index=True)
+    c = c[first].astype(np.float64)
     row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
     n_texts = texts.count()
     tokens, types = int(row[0]) + n_texts, int(row[1]) + (n_texts > 0)
     ones, twos = row[2] or 0, row[3] or 0
     discount = ones / (ones + 2 * twos) if ones else 0.5
     discount = min(max(discount, 0.1), 0.9)
-    table = bigram_table(texts, listed)
-    size = len(table)
-    group = exchange(table, len(listed))
-    k = int(group.max()) + 1
-    one = np.zeros((size, k))
-    one[np.arange(size), group] = 1
-    g = one.T @ table @ one
+    table = bigram_table(texts, core)
+    wanted = round(CLASSES * max(1.0, len(listed) / CORE) ** 0.25)
+    of_core = exchange(table, len(core), wanted)
+    k = int(of_core.max()) + 1
+    if len(listed) > len(core):
+        one = np.zeros((len(table), k))
+        one[np.arange(len(table)), of_core] = 1
+        of_listed = context_classes(texts, core, of_core, one.T @ table @ one, listed, k - ENDINGS - 1)
+    else:
+        of_listed = np.zeros(len(listed), np.int64)
+    of_listed[np.searchsorted(listed, core)] = of_core[: len(core)]
+    group = np.concatenate([of_listed, of_core[len(core) :]])
+    g = class_bigrams(texts, listed, group, k)
+    size = len(group)
     share = (g.sum(axis=0) + 0.5) / (g.sum() + 0.5 * k)
     transition = np.log10((g + PRIOR * share) / (g.sum(axis=1, keepdims=True) + PRIOR))
     # Of a word's count, all of a listed class goes to its words; of an ending, the discount goes to unseen ones.
-    occurs = table.sum(axis=0)
-    in_class = np.maximum(np.bincount(group, occurs, k)[group], 1)
+    occurs = g.sum(axis=0)
+    in_class = np.maximum(occurs[group], 1)
     emission = np.zeros(size)
     emission[: len(listed)] = np.log10(np.maximum(c, 1)) - np.log10(in_class[: len(listed)])
     emission[len(listed) : -1] = -np.log10(in_class[len(listed) : -1])
     bottom = np.log10(tokens + 0.5 * (types + 1))
     base = np.log10(np.append(c, n_texts) + 0.5) - bottom
     # Types of an ending are taken in proportion to its tokens: their number scales the unseen share alone.
-    rest = occurs[len(listed) : -1]
+    rest = occurs[group[len(listed) : -1]]
     kinds = max(types - (n_texts > 0) - len(listed), 0) * rest / max(rest.sum(), 1)
     unseen = np.log10(np.where(rest > 0, np.clip(discount * kinds, 1e-3, np.maximum(rest, 1e-3)), 1.0))
     return Model(listed, group, transition, emission, base, unseen, float(discount), tokens, types, n_texts)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, listed_words: int = LISTED) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, core_words: int = CORE) -> DataFrame:
     """Scores of all documents by a model of those that ``held_out`` (a condition) leaves.
 
     Returns the id, held_out, n_tokens, n_known, train_tokens, base_score (an additive unigram) and
@@ -218,7 +324,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     base = docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held"), F.col(text_col).alias("text"))
     train = base.where(~F.col("held")).select("text")
     counts = materialize(word_counts(train))
-    model = fit(train, counts, listed_words)
+    model = fit(train, counts, core_words)
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

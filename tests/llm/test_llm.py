@@ -199,6 +199,20 @@ def test_class_bigrams_beat_unigrams_on_held_out_texts(docs, odd, empty):
     assert brown.score(odd).count() == len(ODD) and brown.score(empty).count() == 0
 
 
+def test_words_beyond_the_core_have_classes_of_their_context(spark):
+    rng = np.random.default_rng(2)
+    # nouns and verbs take turns, and their last letters say nothing
+    texts = [" ".join(f"{'nv'[i % 2]}{int(400 * rng.random() ** 2)}x" for i in range(60)) for _ in range(400)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = brown.fit(train, brown.word_counts(train), 40)
+    nouns = spark.createDataFrame([(" ".join(f"n{i}x" for i in range(400)),)], "text string")
+    is_noun = np.isin(model.listed, brown.word_counts(nouns).toArrow().column("word").to_numpy().view(np.uint64))
+    group = model.group[: len(model.listed)]
+    assert len(model.listed) > 700
+    kinds = [np.bincount(group[is_noun], minlength=group.max() + 1), np.bincount(group[~is_noun], minlength=group.max() + 1)]
+    assert np.minimum(*kinds).sum() < 0.05 * len(group)
+
+
 def test_fingerprints(docs, odd, empty):
     rows = sorted(docs.select("doc_id", "text").collect())
     got = sorted(imatch.edited_report(docs).collect())
