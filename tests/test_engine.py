@@ -1,5 +1,6 @@
 """The embedding engine: queries beside SQL, approximations beside exact forces, whole reductions, files, settings."""
 
+import time
 import warnings
 
 import numpy as np
@@ -9,7 +10,7 @@ from compare import connect, differences
 from tessella.config import Affinities, Config, Forest, Gradient, Initialization, load_config
 from tessella.functions import kernels
 from tessella.functions.schedule import Schedule, schedule_table
-from tessella.operators import forest, knn, normalize
+from tessella.operators import cells, forces, forest, grid, knn, normalize
 from tessella.plans import registry
 from tessella.plans.reducer import Reducer
 from tessella.sources import matrix
@@ -63,6 +64,34 @@ def test_plan_per_step_equals_loop_in_one_task(spark):
     assert all(np.allclose(a[i], b[i], atol=1e-6) for i in a)
 
 
+@pytest.mark.parametrize("method, steps, want", [("exact", 2, ["exact"] * 2), ("barnes_hut", 1, ["barnes_hut"]), ("auto", 3, ["barnes_hut", "fft", "fft"])])
+def test_plan_per_step_takes_the_method(spark, monkeypatch, method, steps, want):
+    called = []
+    real = {"exact": forces.exact_repulsion, "barnes_hut": cells.barnes_hut, "fft": grid.interpolated_repulsion}
+
+    def spy(name):
+        def run(y, dims, *rest):
+            called.append(name)
+            if method == "auto":  # which of them is the faster is settled here
+                time.sleep(5 * (name == "barnes_hut"))
+                return real["exact"](y, dims)
+            return real[name](y, dims, *rest)
+
+        return run
+
+    monkeypatch.setattr(forces, "exact_repulsion", spy("exact"))
+    monkeypatch.setattr(cells, "barnes_hut", spy("barnes_hut"))
+    monkeypatch.setattr(grid, "interpolated_repulsion", spy("fft"))
+    monkeypatch.setattr(kernels, "TRIES", 1)
+    config = Config(initialization=Initialization(smart=False, seed=1), affinities=Affinities(perplexity=5.0), gradient=Gradient(iterations=steps, method=method))
+    df = clusters(spark, 60)
+    b = {r["id"]: (r["y0"], r["y1"]) for r in Reducer(config, local_rows=0).reduce(df, 2).collect()}
+    assert called == want
+    if method == "exact":
+        a = {r["id"]: (r["y0"], r["y1"]) for r in Reducer(config).reduce(df, 2).collect()}
+        assert all(np.allclose(a[i], b[i], atol=1e-9) for i in a)
+
+
 def test_forest_finds_most_neighbours_and_fills_up(spark):
     m = normalize.normalize(normalize.matrix(clusters(spark), "vec_id", "embedding")).cache()
     with warnings.catch_warnings():
