@@ -59,7 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source and the byte-level BPE ids of each document of the mix, checked by decoding them."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = bytepair.encode(docs.select("doc_id", "source", "text"), ranks, pattern)
+    out = bytepair.encode(docs.select("doc_id", "source", "text"), ranks, pattern, checked=True)
     return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

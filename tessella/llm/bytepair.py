@@ -103,6 +103,13 @@ class BytePairs:
         middle = len(ids) // 2
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
+    def checked(self, text: str) -> list[int]:
+        """Ids of ``text``; raises if decoding them does not give it."""
+        ids = self.encode(text)
+        if self.decode(ids) != text.encode():
+            raise ValueError("decoded ids are not the text they were made of")
+        return ids
+
 
 @cache
 def _loaded(name: str, pattern: str, leaf: int) -> BytePairs:
@@ -116,18 +123,19 @@ def ship(df: DataFrame, path: str) -> str:
     return path.rpartition("/")[2]
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "ids", leaf: int = LEAF) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "ids", leaf: int = LEAF, checked: bool = False) -> DataFrame:
     """``docs`` with the ids of each whole text as array<int> in ``ids_col``, replacing one of that name.
 
     Null and empty texts give an empty array. Rows, repeated ones too, and all other columns stay.
-    No shuffle: each text is encoded where it is read.
+    No shuffle: each text is encoded where it is read; ``checked`` decodes its ids there and raises if they are not the text.
     """
     name = ship(docs, rank_file)
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         coder = _loaded(name, pattern, leaf)
-        return pa.array([coder.encode(t or "") for t in texts.to_pylist()], pa.list_(pa.int32()))
+        one = coder.checked if checked else coder.encode
+        return pa.array([one(t or "") for t in texts.to_pylist()], pa.list_(pa.int32()))
 
     return docs.withColumn(ids_col, ids(F.col(text_col)))
 

@@ -10,6 +10,7 @@ import public_tokenizers as P
 import pytest
 
 from compare import connect, differences
+import corpus_pipeline
 from tessella.llm import brown, bytepair, graph, imatch, lines, minhash, mixing, neighbours, rangecoder, registry, substrings, tokenids, toxicity
 
 ODD = [
@@ -242,3 +243,16 @@ def test_arrow_slices_take_whole_texts():
 
     parts = list(slices(pa.array(["abc", None, "d" * 50, ""]), 10))
     assert [(p.first, p.last) for p in parts] == [(0, 2), (2, 3), (3, 4)] or sum(p.last - p.first for p in parts) == 4
+
+
+def test_pipeline_decodes_what_it_encodes(spark, monkeypatch):
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        coder = bytepair.BytePairs(f.read(), P.PATTERN)
+    ids = coder.checked("Café one two")
+    coder.bytes_of[ids[-1]] = b"?"
+    with pytest.raises(ValueError, match="decoded ids are not"):
+        coder.checked("Café one two")
+    asked, real = [], bytepair.encode
+    monkeypatch.setattr(bytepair, "encode", lambda *a, **k: asked.append(k) or real(*a, **k))
+    docs = spark.createDataFrame([(1, "a", "one two"), (2, None, None), (None, "a", "Café")], "doc_id long, source string, text string")
+    assert len(corpus_pipeline.encode(spark, docs, "").collect()) == 3 and asked == [{"checked": True}]
