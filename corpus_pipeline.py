@@ -45,12 +45,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources, of documents with an id: each appears once for each time it is taken, the last one cut
+    """The mix of sources: each row, with an id or not, appears once for each time it is taken, the last one cut
     to its words. Documents without words are not taken."""
-    docs = docs.where("doc_id is not null")
-    taken = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_taken_id")).agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
-    taken = taken.select("_taken_id", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))).alias("_copy"), "_taken", "_size")
-    out = docs.join(taken.hint("shuffle_hash"), F.col("doc_id") == F.col("_taken_id"))
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    taken = mixing.mix(numbered, row_col="_row").where("taken > 0")
+    taken = taken.select(F.col("_row").alias("_taken_row"), F.col("taken").alias("_taken"), F.col("size").alias("_size"))
+    taken = taken.select("_taken_row", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))).alias("_copy"), "_taken", "_size")
+    out = numbered.join(taken.hint("shuffle_hash"), F.col("_row") == F.col("_taken_row"))
     words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size"))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({mixing.WORD})"), F.lit(1)), 1, words.cast("int")), " ")
     return _like(docs, out.withColumn("text", F.when(words == F.col("_size"), F.col("text")).otherwise(part)))

@@ -48,18 +48,20 @@ def targets(sizes: list[tuple], weights: tuple, share: float, most: float) -> li
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-        weights: tuple = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
+        weights: tuple = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, row_col: str | None = None) -> DataFrame:
     """How much of each document the mix takes.
 
     Sources in order of code points, null last, weigh ``weights`` in turn. Returns the id, source, size
     (words), source_size, target (of its source) and taken (words, repeats counted). A source's taken
     words sum to its target rounded to a word: whole epochs first, then documents in key order, the last one
     in part. A source without words has target 0. Rows with equal ids are separate documents; null texts
-    have size 0; an empty table gives an empty result; other columns are not read.
+    have size 0; an empty table gives an empty result; other columns are not read,
+    but for ``row_col``, which tells rows apart and is returned too.
     """
     digest = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("null")))
     key = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    own = [row_col] if row_col else []
+    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *[F.col(c).alias("row") for c in own])
     # rows are kept apart by their key; equal ids are told apart by size alone, which is all that counts
     base = materialize(base.withColumn("key", key).withColumn("bucket", F.shiftright("key", 60 - BUCKET_BITS)))
     per_bucket = base.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -81,16 +83,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     b = base.alias("b")
     s = starts.alias("s")
     joined = b.join(s, F.col("b.source").eqNullSafe(F.col("s.source")) & (F.col("b.bucket") == F.col("s.bucket"))).select(
-        "b.id", "b.source", "b.size", "b.key", "b.bucket", "start", "words", "source_size", "target", "epochs", "rest"
+        "b.id", "b.source", "b.size", "b.key", "b.bucket", "start", "words", "source_size", "target", "epochs", "rest", *["b.row" for _ in own]
     )
-    out = ["id", "source", "size", "source_size", "target"]
+    out = ["id", "source", "size", "source_size", "target", *["row" for _ in own]]
     whole = F.col("epochs") * F.col("size")
     cut = (F.col("start") < F.col("rest")) & (F.col("start") + F.col("words") > F.col("rest"))
     clear = joined.where(~cut).select(
         *out, (whole + F.when(F.col("start") + F.col("words") <= F.col("rest"), F.col("size")).otherwise(0)).alias("taken")
     )
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", *["row" for _ in own]).rowsBetween(Window.unboundedPreceding, -1)
     ranked = joined.where(cut).withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("at")))
     edge = ranked.select(*out, (whole + part).alias("taken"))
-    return clear.union(edge).withColumnRenamed("id", id_col).withColumnRenamed("source", source_col)
+    both = clear.union(edge).withColumnRenamed("row", row_col) if row_col else clear.union(edge)
+    return both.withColumnRenamed("id", id_col).withColumnRenamed("source", source_col)

@@ -256,3 +256,11 @@ def test_pipeline_decodes_what_it_encodes(spark, monkeypatch):
     monkeypatch.setattr(bytepair, "encode", lambda *a, **k: asked.append(k) or real(*a, **k))
     docs = spark.createDataFrame([(1, "a", "one two"), (2, None, None), (None, "a", "Café")], "doc_id long, source string, text string")
     assert len(corpus_pipeline.encode(spark, docs, "").collect()) == 3 and asked == [{"checked": True}]
+
+
+def test_pipeline_mixes_every_row(spark):
+    rows = [(None, "a", "one two three"), (None, "a", "four five"), (4, "a", "six seven eight"), (4, "a", "six seven eight"), (5, "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = [r["text"].split(" ") for r in corpus_pipeline.mix(spark, docs, "").collect()]
+    assert sum(map(len, got)) == 17  # 1.5 times 11 words, rounded
+    assert {w for t in got for w in t} == set("one two three four five six seven eight".split(" "))
