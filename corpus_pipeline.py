@@ -37,11 +37,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id."""
+    """One document of each group of near-duplicates, that with the smallest id; of repeated rows (one id and one text), one."""
     kept = minhash.near_duplicates(docs, num=80, den=100).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     # documents without an id have no partners and stay
     joined = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_kept"), "left")
-    return joined.where("doc_id is null or _kept is not null").select(*docs.columns)
+    known = joined.where("_kept is not null").dropDuplicates(["doc_id", "text"])
+    return known.union(joined.where("doc_id is null")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

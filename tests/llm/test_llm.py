@@ -258,6 +258,14 @@ def test_pipeline_decodes_what_it_encodes(spark, monkeypatch):
     assert len(corpus_pipeline.encode(spark, docs, "").collect()) == 3 and asked == [{"checked": True}]
 
 
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    text = "some words of a text that is longer than one shingle of five words"
+    rows = [(1, text), (1, text), (2, text), (3, "another text of other words that nobody else has"), (None, text), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(got, key=repr) == [1, 3, None, None]
+
+
 def test_pipeline_mixes_every_row(spark):
     rows = [(None, "a", "one two three"), (None, "a", "four five"), (4, "a", "six seven eight"), (4, "a", "six seven eight"), (5, "a", None)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
