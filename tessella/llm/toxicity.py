@@ -10,19 +10,21 @@ highest so far, since only some of its words are to blame.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.text import Slice, slices, word_hashes, words
-from tessella.session import materialize
+from tessella.session import discard, materialize
 
-#: Bounds of the training sample: texts of each label, and characters of all.
+#: Bounds of the training sample: texts of each label, characters of all, and of one.
 SAMPLE_TEXTS, SAMPLE_CHARS = 2000, 32_000_000
+SAMPLE_LONGEST = 1_000_000
 WINDOW, STRIDE = 24, 12
 HIDDEN, EMBED = 8, 8
 VOCABULARY, TRIGRAMS = 4096, 2048
@@ -330,34 +332,51 @@ class Network:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network:
-    """A network from labelled documents.
+    """A network from labelled documents, trained in one task; its weights alone come back.
 
-    The sample is the ``SAMPLE_TEXTS`` texts of each label with the lowest hashes of their ids, as far as
-    ``SAMPLE_CHARS`` characters go. Rows with a null id, text or label are left out. Without any
-    labelled text, the network stays as it was drawn; equal tables give equal networks.
+    The sample is the ``SAMPLE_TEXTS`` texts of each label with the lowest hashes of their ids, without those
+    of more than ``SAMPLE_LONGEST`` characters, and of these each that still fits into ``SAMPLE_CHARS``
+    characters in all. Rows with a null id, text or label are left out; repeated ids count as toxic if
+    one of them is. Without any labelled text, the network stays as it was drawn; equal tables give
+    equal networks.
     """
     lab = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     lab = lab.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y")).withColumn("h", F.xxhash64("id", F.lit(11)))
     counts = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    prior = min(max(counts.get(1, 0) / max(sum(counts.values()), 1), 0.01), 0.99)
     # twice the sample, as some labels may have no text; at most 4 * SAMPLE_TEXTS rows of numbers are broadcast
     near = lab.where("y = 1").orderBy("h", "id").limit(2 * SAMPLE_TEXTS).union(lab.where("y = 0").orderBy("h", "id").limit(2 * SAMPLE_TEXTS))
-    found = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(near), "id")
-    found = materialize(found)
+    usable = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= SAMPLE_LONGEST))
+    found = materialize(usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(near), "id"))
     texts = found.where("y = 1").orderBy("h", "id").limit(SAMPLE_TEXTS).union(found.where("y = 0").orderBy("h", "id").limit(SAMPLE_TEXTS))
-    total = F.sum(F.length("text")).over(Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = texts.withColumn("total", total).where(F.col("total") <= SAMPLE_CHARS).orderBy("h", "id").select("text", "y").toArrow()
-    y = rows.column("y").to_numpy().astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken, y, total = [], [], 0
+        for batch in batches:
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+                text = text.as_py()
+                if total + len(text) <= SAMPLE_CHARS:
+                    taken.append(text)
+                    y.append(label)
+                    total += len(text)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fitted(pa.array(taken, pa.large_string()), np.array(y, np.int64), prior))])], ["net"])
+
+    one = texts.repartition(1).sortWithinPartitions("h", "id", "text").select("text", "y")
+    rows = one.mapInArrow(run, "net binary").collect()
+    discard(found)
+    return pickle.loads(rows[0]["net"]) if rows else Network(np.zeros(0, np.uint64))
+
+
+def _fitted(texts: pa.Array, y: np.ndarray, prior: float) -> Network:
     if not len(y):
         return Network(np.zeros(0, np.uint64))
-    t = merged([tokenize(part) for part in slices(rows.column("text"))])
+    t = merged([tokenize(part) for part in slices(texts)])
     text = np.repeat(np.arange(len(y)), np.diff(t.bounds))
     pair = np.unique(t.inverse * (len(y) + 1) + text)
     in_texts = np.bincount(pair // (len(y) + 1), minlength=len(t.kinds))
     order = np.lexsort((t.kinds, -in_texts))[:VOCABULARY]
-    vocabulary = np.sort(t.kinds[order[in_texts[order] >= LEAST_TEXTS]])
-    net = Network(vocabulary)
-    prior = counts.get(1, 0) / max(sum(counts.values()), 1)
-    net.fit(t, y, min(max(prior, 0.01), 0.99))
+    net = Network(np.sort(t.kinds[order[in_texts[order] >= LEAST_TEXTS]]))
+    net.fit(t, y, prior)
     return net
 
 
