@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.text import mix64
-from tessella.session import materialize
+from tessella.session import discard, materialize
 
 #: Blocks with more ids than this are compared with a leader first.
 FEW = 32
@@ -31,16 +31,20 @@ def connected_components(links: DataFrame) -> DataFrame:
     mark = _mark(edges)
     while mark[0]:
         parts = -(-mark[0] // CHUNK)  # tasks follow the number of links, not the width of shuffles
+        spent = edges
         edges = edges.coalesce(parts)
         # large-star: each larger neighbour of a node goes to the node's smallest neighbour
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         grown = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small-star: a node and its smaller neighbours go to the smallest of them
-        edges = materialize(grown.coalesce(2 * parts).distinct().coalesce(parts))
+        grown = materialize(grown.coalesce(2 * parts).distinct().coalesce(parts))
+        discard(spent)
+        edges = grown
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = materialize(moved.union(least.select("u", F.col("m").alias("v"))).coalesce(2 * parts).distinct().coalesce(parts))
+        discard(grown)
         now = _mark(edges)
         if now == mark:
             break
@@ -130,10 +134,10 @@ def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ma
 
     ``may(x, y)`` is the condition on two rows, as functions from a column's name, for a pair to be a
     candidate; ``verify`` takes candidate pairs (a, b) with a < b and returns those that truly link.
-    Blocks of up to ``FEW`` ids are joined with themselves. A larger block is first compared with one
-    leader; then its ids join across the components known by then. The join emits no pair that fails
-    ``may`` or is in one component already, so every true candidate is verified or linked otherwise.
-    Returns (id, component) for ids that have a link.
+    Blocks of up to ``FEW`` ids are joined with themselves; a larger block is compared with one leader
+    first. Of these pairs each id's likeliest, that with the most blocks in common, is verified first. Then all other
+    pairs are, those of larger blocks too, unless their ids are in one component by then. So every
+    true candidate is verified or linked otherwise. Returns (id, component) for ids that have a link.
     """
     counted = members.groupBy("block").agg(F.count("*").alias("m"))
     small = members.join(counted.where(F.col("m") <= FEW).select("block"), "block").withColumn("component", F.col("id"))
@@ -144,15 +148,26 @@ def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ma
         leader = big.groupBy("block").agg(F.min("id").alias("id"))
         leader = big.join(leader, ["block", "id"]).dropDuplicates(["block"]).withColumn("component", F.col("id"))
         pairs = pairs.union(_crossing(leader, may, big.withColumn("component", F.col("id"))))
-    links = materialize(verify(pairs.distinct()))
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.count("*").alias("shared")))
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+    links = materialize(verify(best))
     components = materialize(connected_components(links))
+
+    def placed(rows: DataFrame, id_col: str, name: str) -> DataFrame:
+        known = components.select(F.col("id").alias(id_col), F.col("component").alias(name))
+        return rows.join(known, id_col, "left").withColumn(name, F.coalesce(name, id_col))
+
+    rest = placed(placed(pairs.join(best, ["a", "b"], "left_anti"), "a", "x"), "b", "y").where("x <> y").select("a", "b")
     if crowded:
-        known = big.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        known = placed(big, "id", "component")
         several = known.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
         known = materialize(known.join(several.select("block"), "block"))
-        more = materialize(verify(_crossing(known, may).distinct()))
-        if more.limit(1).count():
-            components = materialize(connected_components(links.union(more)))
+        rest = rest.union(_crossing(known, may)).distinct()
+    more = materialize(verify(rest))
+    if more.limit(1).count():
+        stars = components.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        components = materialize(connected_components(stars.union(more)))
+    discard(big, pairs, links, more)
     return components
 
 
