@@ -23,15 +23,25 @@ from tessella.llm import rangecoder
 from tessella.llm.text import slices
 from tessella.session import shared_dir
 
-#: Distinct words whose ids a task remembers.
-REMEMBERED = 1 << 18
+#: Distinct words whose ids a worker remembers, some 150 MB.
+REMEMBERED = 1 << 20
+
+
+def _folded(text: bytes) -> bytes:
+    """A-Z as a-z, as the vocabulary has it anyway, so that fewer words are distinct.
+
+    Not in texts with a special token's bracket, which hold for one spelling only, or with combining marks: some
+    letters and marks are one character in lower case alone.
+    """
+    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
 
 
 class WordTokens:
     """Ids of texts by a vocabulary whose pieces never reach over white space.
 
     ASCII white space ends every piece and gives no id, so a text's ids are those of its words in a
-    row; each distinct word goes through the library once.
+    row; each distinct word goes through the library once. The vocabulary is of lower case. As in the library's plain call, special
+    tokens written out in a text are those tokens; they hold no white space.
     """
 
     def __init__(self, path: str):
@@ -39,7 +49,6 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.core = Tokenizer.from_file(path)
-        self.core.encode_special_tokens = True
         self._forget()
 
     def _forget(self) -> None:
@@ -50,7 +59,7 @@ class WordTokens:
         """(ids of all texts in a row, number of each text's ids); ``end`` follows each text."""
         if len(self.index) > REMEMBERED:
             self._forget()
-        split = [t.encode().split() for t in texts]
+        split = [_folded(t.encode()).split() for t in texts]
         every: list[bytes] = []
         for ws in split:
             every += ws
@@ -146,7 +155,7 @@ def _read(manifest: DataFrame, full: bool) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(edge[:-1], edge[1:])]
                 columns = [pa.array(documents["id"].copy(), mask=documents["null"] == 1), pa.array(start + edge[:-1]), pa.array(size), pa.array(crc, pa.int64())]
                 if full:
-                    columns.append(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids.astype(np.int32))))
+                    columns.append(pa.LargeListArray.from_arrays(pa.array(edge, pa.int64()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     return manifest.select("path", "start").repartitionByRange(n, "path").mapInArrow(run, kind)
