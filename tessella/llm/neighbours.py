@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.text import mix64
+
 TILE = 4096
 BLOCK = 512
 #: Query blocks whose heaps a task holds at a time.
@@ -121,6 +123,12 @@ def tile_nearest(q: dict, c: dict, k: int, bound: np.ndarray) -> tuple[np.ndarra
     return a, c["ids"][b], found
 
 
+def vector_keys(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row's components."""
+    bits = np.ascontiguousarray(x).view(np.uint64) + np.arange(1, x.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return mix64(mix64(bits).sum(axis=1, dtype=np.uint64)).view(np.int64)
+
+
 def best(place: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of the first k of each query by score, then id."""
     order = np.lexsort((ids, score, place))
@@ -135,48 +143,50 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     Smallest Euclidean distance first, ties to the smaller id; rows with the query's id are its own
     and never found. Rows without an id and vectors that are null, empty, zero or hold null or
     non-finite components take no part; vectors of another length than the query's are not candidates.
-    Repeated rows count each. Fewer candidates than k give fewer rows; empty tables give none.
+    Repeated rows of ``vectors`` count each. Repeated rows of ``queries`` are one query; rows of one id with other
+    vectors are queries of their own, each with a list under that id. Fewer candidates than k give
+    fewer rows; empty tables give none.
     Query blocks meet all tiles through a join on a slot number: candidates are dealt once over the
     slots, and only the far fewer query blocks are repeated for each slot.
     """
     spark = vectors.sparkSession
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     tiles = valid(vectors, id_col, vector_col).mapInArrow(pack(TILE), _PACKED)
-    blocks = valid(queries, id_col, vector_col).mapInArrow(pack(BLOCK), _PACKED)
+    blocks = valid(queries, id_col, vector_col).dropDuplicates(["id", "v"]).mapInArrow(pack(BLOCK), _PACKED)
     names = [c.split()[0] for c in _PACKED.split(", ")][1:]
     tiles = tiles.select("dim", F.pmod(F.xxhash64("ids"), F.lit(slots)).alias("slot"), *[F.col(c).alias(f"c_{c}") for c in names])
     blocks = blocks.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"), *[F.col(c).alias(f"q_{c}") for c in names])
     pairs = tiles.join(blocks.hint("shuffle_hash"), ["slot", "dim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple] = {}
+        held: dict[tuple[bytes, bytes], tuple] = {}
 
         def out() -> pa.RecordBatch:
-            q = [np.concatenate(x) for x in zip(*((ids[p], i, s) for ids, p, i, s in held.values()))]
+            q = [np.concatenate(x) for x in zip(*((ids[p], own[p], i, s) for (ids, own), p, i, s in held.values()))]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in q], ["query_id", "vec_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in q], ["query_id", "own", "vec_id", "score"])
 
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
                 q, c = _unpack(row, "q"), _unpack(row, "c")
-                key = row["q_ids"]
-                ids, p, i, s = held.get(key) or (q["ids"], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-                bound = np.full(len(ids), np.inf)
+                key = row["q_ids"], row["q_vectors"]
+                who, p, i, s = held.get(key) or ((q["ids"], vector_keys(q["x"])), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                bound = np.full(len(q["ids"]), np.inf)
                 if len(p):
                     last = np.append(p[1:] != p[:-1], True)
-                    full = np.bincount(p, minlength=len(ids)) >= k
+                    full = np.bincount(p, minlength=len(bound)) >= k
                     bound[p[last]] = s[last]
                     bound[~full] = np.inf
                 a, b, d = tile_nearest(q, c, k, bound)
                 p, i, s = np.concatenate([p, a]), np.concatenate([i, b]), np.concatenate([s, d])
                 keep = best(p, i, s, k)
-                held[key] = ids, p[keep], i[keep], s[keep]
+                held[key] = who, p[keep], i[keep], s[keep]
                 if len(held) >= HELD:
                     yield out()
         if held:
             yield out()
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = pairs.mapInArrow(run, "query_id long, own long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "own").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
