@@ -45,7 +45,6 @@ def test_token_files(spark, odd, empty):
 
     path = P.path("word_bpe_49k.json")
     core = Tokenizer.from_file(path)
-    core.encode_special_tokens = True
     rows = tokenids.digest(tokenids.write(odd, path, tokenids.folder(spark))).collect()
     assert len(rows) == len(ODD)
     want = {i: core.encode(t or "", add_special_tokens=False).ids + [1] for i, t, *_ in ODD}
@@ -57,6 +56,20 @@ def test_token_files(spark, odd, empty):
     assert tokenids.digest(tokenids.write(empty, path, tokenids.folder(spark))).count() == 0
 
 
+def test_words_have_the_ids_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    core, own = Tokenizer.from_file(path), tokenids.WordTokens(path)
+    rng = np.random.default_rng(6)
+    bits = ["a", "Zé", "e\u0301", "<|endoftext|>", "<|startoftext|>", "'s", "\u3000", "\u00a0", "\x0b", "\n", " ", "  ", "12", "Σ", "ΑΣ", "İ", "한국", "\U0001f600", "-", "_", "\u0301"]
+    texts = ["hello <|endoftext|> world", "x<|endoftext|>y", ""] + ["".join(rng.choice(bits, rng.integers(1, 12))) for _ in range(3000)]
+    ids, count = own.encode(texts, 1)
+    at = np.concatenate([[0], np.cumsum(count)])
+    for k, e in enumerate(core.encode_batch(texts, add_special_tokens=False)):
+        assert ids[at[k] : at[k + 1]].tolist() == e.ids + [1], texts[k]
+
+
 @pytest.mark.parametrize("n", [0, 1, rangecoder.BLOCK, 3 * rangecoder.BLOCK + 5])
 def test_range_coder_round_trip(n):
     ids = np.random.default_rng(n).zipf(1.3, n).clip(0, 65535).astype(np.uint16)
@@ -92,6 +105,12 @@ def test_neighbours_leave_bad_vectors_out(spark):
     assert neighbours.nearest(v.limit(0), v.limit(0), 3).count() == 0
 
 
+def test_repeated_queries_have_whole_lists(spark):
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 9.0]), *[(i, [float(i), 1.0]) for i in range(1, 9)]], "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest(v, v.where("vec_id = 0"), 3).collect()]
+    assert sorted(got) == sorted([(0, 1, 1), (0, 2, 2), (0, 3, 3)] * 2)
+
+
 def test_toxicity_separates_held_out_texts(spark):
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(200)]
@@ -266,6 +285,29 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
     assert sorted(got, key=repr) == [1, 3, None, None]
 
 
+CLASHING = ["_row", "row", "kept_id", "toxicity", "taken", "size", "doc", "removed", "lines", "copy", "first", "n_lines", "id"]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_pipeline_stages_take_odd_tables(spark, tmp_path, odd, name, stage):
+    labels = spark.createDataFrame([(3, 1), (5, None), (7, 0), (None, 1)], "doc_id long, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    plain = odd.selectExpr("doc_id", "text", "cast(null as string) lang", "source", "cast(length(text) as bigint) n_chars")
+    plain.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    wide = docs.selectExpr("*", *[f"'{c}' as `{c}`" for c in CLASHING])
+    for table in (docs, wide, docs.limit(0)):
+        out = stage(spark, table, str(tmp_path))
+        rows = out.collect()
+        if stage is not corpus_pipeline.encode:
+            assert out.columns == table.columns
+        if stage in (corpus_pipeline.dedup_lines, corpus_pipeline.encode):
+            assert len(rows) == table.count()
+        if stage is corpus_pipeline.near_dedup:
+            assert len(rows) in (0, len(ODD) - 1)
+        assert all(r[c] == c for r in rows for c in CLASHING if c in out.columns)
+
+
 def test_pipeline_mixes_every_row(spark):
     rows = [(None, "a", "one two three"), (None, "a", "four five"), (4, "a", "six seven eight"), (4, "a", "six seven eight"), (5, "a", None)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
