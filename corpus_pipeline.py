@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bytepair, lines, minhash, mixing, toxicity
-from tessella.session import load, materialize
+from tessella.session import discard, fresh_names, load, materialize
 
 #: Documents with a score of this or more are rejected.
 TOXIC = 0.5
@@ -25,37 +25,51 @@ def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the toxic ones, by a network that learns from all of ``labels`` (a bounded sample)."""
-    source = load(spark, sf_dir, "documents")
-    net = toxicity.train(source, load(spark, sf_dir, "labels"))
-    return toxicity.score(docs, net, score_col="_toxicity").where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    """Documents without the toxic ones, by a network that learns from all of ``labels`` (a bounded sample).
+
+    Every row is scored, null and empty texts too; repeated rows go or stay together.
+    """
+    (score,) = fresh_names(docs, "toxicity")
+    net = toxicity.train(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return toxicity.score(docs, net, score_col=score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; one that loses all its lines stays with an empty text."""
-    return _like(docs, lines.dedup_lines(docs))
+    """Documents without repeated lines; one that loses all its lines stays with an empty text.
+
+    Null texts stay null, rows without an id stay as they are, repeated rows are cut alike.
+    """
+    # columns named like the operator's own results keep their values
+    own = [c for c in docs.columns if c.lower() in ("n_lines", "n_removed")]
+    aside = dict(zip(own, fresh_names(docs, *own)))
+    out = lines.dedup_lines(docs.withColumnsRenamed(aside)).drop("n_lines", "n_removed")
+    return _like(docs, out.withColumnsRenamed({v: k for k, v in aside.items()}))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id; of repeated rows (one id and one text), one."""
-    kept = minhash.near_duplicates(docs, num=80, den=100).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    # documents without an id have no partners and stay
-    joined = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_kept"), "left")
-    known = joined.where("_kept is not null").dropDuplicates(["doc_id", "text"])
+    """One document of each group of near-duplicates, that with the smallest id; of repeated rows (one id and one text), one.
+
+    Rows without an id have no partners and stay, as do null and empty texts.
+    """
+    (kept,) = fresh_names(docs, "kept_id")
+    ids = minhash.near_duplicates(docs, num=80, den=100).where("kept").select(F.col("doc_id").alias(kept)).distinct()
+    joined = docs.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col(kept), "left")
+    known = joined.where(F.col(kept).isNotNull()).dropDuplicates(["doc_id", "text"])
     return known.union(joined.where("doc_id is null")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: each row, with an id or not, appears once for each time it is taken, the last one cut
     to its words. Documents without words are not taken."""
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
-    taken = mixing.mix(numbered, row_col="_row").where("taken > 0")
-    taken = taken.select(F.col("_row").alias("_taken_row"), F.col("taken").alias("_taken"), F.col("size").alias("_size"))
-    taken = taken.select("_taken_row", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))).alias("_copy"), "_taken", "_size")
-    out = numbered.join(taken.hint("shuffle_hash"), F.col("_row") == F.col("_taken_row"))
-    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size"))
+    row, taken_row, taken, size, copy = fresh_names(docs, "row", "taken_row", "taken_words", "row_words", "copy")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    mixed = mixing.mix(numbered.select("doc_id", "source", "text", row), row_col=row).where("taken > 0")
+    mixed = mixed.select(F.col(row).alias(taken_row), F.col("taken").alias(taken), F.col("size").alias(size))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col(taken) / F.col(size))))
+    out = numbered.join(mixed.select("*", copies.alias(copy)).hint("shuffle_hash"), F.col(row) == F.col(taken_row))
+    words = F.least(F.col(size), F.col(taken) - (F.col(copy) - 1) * F.col(size))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({mixing.WORD})"), F.lit(1)), 1, words.cast("int")), " ")
-    return _like(docs, out.withColumn("text", F.when(words == F.col("_size"), F.col("text")).otherwise(part)))
+    return _like(docs, out.withColumn("text", F.when(words == F.col(size), F.col("text")).otherwise(part)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +87,7 @@ STAGES = [
     ("byte-level BPE", encode),
 ]
 
-#: The network's scores and SimHash blocks are not for SQL to express.
+#: The network's scores and the byte pairs are not for SQL to express.
 ORACLE_SQL = None
 
 
@@ -81,7 +95,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written before the next one reads it."""
     docs = load(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
