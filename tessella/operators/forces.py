@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +27,41 @@ def attraction(edges: DataFrame, layout: DataFrame, dims: int, exaggeration: flo
     )
 
 
+#: Rows of a block; a task holds one pair of blocks at a time.
+ROWS = 1024
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            ids, *y = (c.to_numpy() for c in batch.slice(k, ROWS).columns)
+            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([np.stack(y, 1).tobytes()])], ["ids", "y"])
+
+
 def exact_repulsion(layout: DataFrame, dims: int) -> DataFrame:
     """(id, f0, ..., z): sums of q**2 (y_i - y_j) and of q = 1 / (1 + d2) over all other rows.
 
-    Quadratic; the measure that the approximations are held against.
+    Quadratic; the measure that the approximations are held against. Blocks of one side are dealt once
+    over slots, those of the other repeated for each slot, so nothing is broadcast; each pair of blocks passes on one
+    partial sum a row.
     """
     cols = coordinates(dims)
-    pairs = layout.alias("s").join(layout.alias("t"), F.col("s.id") != F.col("t.id"))
-    q = 1 / (1 + _gap(cols, "s", "t"))
-    pairs = pairs.select(F.col("s.id").alias("id"), q.alias("q"), *[(F.col(f"s.{c}") - F.col(f"t.{c}")).alias(c) for c in cols])
-    return pairs.groupBy("id").agg(*[F.sum(F.col("q") * F.col("q") * F.col(c)).alias(f"f{k}") for k, c in enumerate(cols)], F.sum("q").alias("z"))
+    slots = max(int(layout.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    blocks = layout.select(F.col("id").cast("long"), *[F.col(c).cast("double") for c in cols]).repartition(slots).mapInArrow(_pack, "ids binary, y binary")
+    right = blocks.select(F.pmod(F.xxhash64("ids"), F.lit(slots)).alias("slot"), F.col("ids").alias("jds"), F.col("y").alias("z"))
+    left = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"), "ids", "y")
+    names = ["id", *[f"f{k}" for k in range(dims)], "z"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, y, jds, z in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                ia, ib = np.frombuffer(ids, np.int64), np.frombuffer(jds, np.int64)
+                gap = np.frombuffer(y).reshape(-1, 1, dims) - np.frombuffer(z).reshape(1, -1, dims)
+                q = np.where(ia[:, None] == ib, 0, 1 / (1 + (gap * gap).sum(axis=2)))
+                yield pa.RecordBatch.from_arrays([pa.array(ia), *[pa.array((q * q * gap[:, :, k]).sum(axis=1)) for k in range(dims)], pa.array(q.sum(axis=1))], names)
+
+    parts = left.join(right.hint("shuffle_hash"), "slot").select("ids", "y", "jds", "z").mapInArrow(run, "id long, " + ", ".join(f"{c} double" for c in names[1:]))
+    return parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in names[1:]])
 
 
 def gradient(attractive: DataFrame, repulsive: DataFrame, dims: int) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A tree splits its segments in halves by a projection drawn for each segment. Splits at the exact
 median take a window per segment; ``split="quantile"`` takes an approximate median from partial
-sums instead, so that no segment is ever sorted in one task. Draws are reproducible (``lcg``).
+sums instead, so that no segment is ever sorted in one task. Rows of equal projections are dealt out by id
+or by a hash of it. Draws are reproducible (``lcg``).
 """
 
 from __future__ import annotations
@@ -60,7 +61,9 @@ def trees(m: DataFrame, n: int, leaf: int, forest: Forest, split: str | None = N
             rows = materialize(rows.withColumn("h", h))
             middle = rows.groupBy("tree", "node").agg(F.count("*").alias("c"), F.percentile_approx("h", 0.5, 1000).alias("mid"))
             rows = rows.join(middle, ["tree", "node"])
-            upper = F.col("h") > F.col("mid")
+            # a hash deals out rows on the middle itself, or a crowd of equal vectors would never be split
+            tied = (F.col("h") == F.col("mid")) & (F.pmod(F.xxhash64("id", "tree", "node"), F.lit(2)) == 1)
+            upper = (F.col("h") > F.col("mid")) | tied
         child = F.col("node") * 2 + upper.cast("long")
         rows = rows.select("id", "f", "tree", F.when(F.col("c") * SHARE > leaf, child).otherwise(F.col("node")).alias("node"))
     size = F.count("*").over(segment)

@@ -1,16 +1,19 @@
 """The embedding engine: queries beside SQL, approximations beside exact forces, whole reductions, files, settings."""
 
+import subprocess
+import sys
 import time
 import warnings
 
 import numpy as np
 import pytest
 
+from conftest import ROOT
 from compare import connect, differences
-from tessella.config import Affinities, Config, Forest, Gradient, Initialization, load_config
+from tessella.config import Affinities, Config, Forest, Gradient, Initialization, Interpolation, load_config
 from tessella.functions import kernels
 from tessella.functions.schedule import Schedule, schedule_table
-from tessella.operators import cells, forces, forest, grid, knn, normalize
+from tessella.operators import cells, forces, forest, grid, knn, layout, normalize
 from tessella.plans import registry
 from tessella.plans.reducer import Reducer
 from tessella.sources import matrix
@@ -102,6 +105,57 @@ def test_forest_finds_most_neighbours_and_fills_up(spark):
     assert len(want & {(r["i"], r["j"]) for r in found}) / len(want) > 0.6
 
 
+@pytest.mark.parametrize("split", ["median", "quantile"])
+def test_equal_vectors_are_split_too(spark, split):
+    rows = [(i, [1.0, 2.0, 3.0, 4.0] if i < 400 else [float(i % 7), float(i % 11), float(i % 13), 0.5]) for i in range(600)]
+    m = spark.createDataFrame(rows, "id long, f array<double>")
+    got = forest.trees(m, 600, 20, Forest(trees=3), split)
+    assert got.count() == 1800
+    sizes = [r["n"] for r in got.groupBy("tree", "bucket").count().withColumnRenamed("count", "n").collect()]
+    assert max(sizes) < 120
+
+
+@pytest.mark.parametrize("spread, want", [(10.0, 50), (50.5, 50), (51.0, 55), (131.0, 140), (199.0, 200), (250.0, 250)])
+def test_box_counts(spark, spread, want):
+    y = spark.createDataFrame([(0, 0.0, 1.0), (1, spread, 0.5)], "id long, y0 double, y1 double")
+    assert grid.boxes(y, 2, Interpolation()).count == want
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3])
+def test_plans_of_repulsion_agree(spark, dims):
+    y = np.random.default_rng(dims).standard_normal((120, dims))
+    table = spark.createDataFrame([(i, *row) for i, row in enumerate(y.tolist())], "id long, " + ", ".join(f"y{k} double" for k in range(dims)))
+    force, z = kernels.exact_repulsion(y)
+
+    def forces_of(df):
+        rows = df.orderBy("id").collect()
+        return np.array([[r[f"f{k}"] for k in range(dims)] for r in rows]), sum(r["z"] for r in rows)
+
+    f, total = forces_of(forces.exact_repulsion(table, dims))
+    assert np.allclose(f, force) and np.isclose(total, z)
+    f, total = forces_of(grid.interpolated_repulsion(table, dims, Interpolation()))
+    assert abs(total / z - 1) < 1e-3 and np.abs(f - force).max() < 1e-3 * np.abs(force).max()
+
+
+def test_start_follows_earlier_neighbours(spark):
+    rng = np.random.default_rng(8)
+    y = rng.standard_normal((30, 2))
+    edges = [(i, j, float(rng.random())) for i in range(30) for j in rng.choice(30, 4, replace=False).tolist() if i != j]
+    table = spark.createDataFrame([(3 * i, *row) for i, row in enumerate(y.tolist())], "id long, y0 double, y1 double")
+    got = layout.smart_layout(table, spark.createDataFrame([(3 * i, 3 * j, p) for i, j, p in edges], "i long, j long, p double"), 2)
+    want = {}
+    for i in range(30):
+        before = [(p, want[j]) for a, j, p in edges if a == i and j < i]
+        want[i] = y[i] if not before else y[i] / 30**0.5 + sum(p * w for p, w in before) / sum(p for p, _ in before)
+    assert all(np.allclose((r["y0"], r["y1"]), want[r["id"] // 3]) for r in got.collect())
+
+
+def test_queries_without_optional_libraries():
+    code = "import sys; sys.modules['tiktoken'] = sys.modules['tokenizers'] = sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout.split()
+    assert said == [str(len(registry.queries())), str(len(registry.oracle_sql()))]
+
+
 def test_bad_input_raises(spark):
     few = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(90)], "vec_id long, embedding array<double>")
     with pytest.raises(ValueError, match="too few"):
