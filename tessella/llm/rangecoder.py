@@ -2,9 +2,11 @@
 
 A block of ``BLOCK`` ids is coded on its own: its model starts anew and its checksum is kept beside it.
 For each id, the tables of order 2 and order 1 (what followed the last two ids, and the last one, in
-this block) predict an id. Whether the prediction holds is a binary decision; its probability is a
-logistic mix of what order 2, order 1 and order 0 say, with weights that learn in the block. If it does
-not hold, the id itself is coded by order 0: the frequencies of the whole file, kept in its header.
+this block) predict an id. The chance that the prediction holds is a logistic mix: order 2 gives a logit
+for how often its prediction has held, order 1 one for its own and whether it agrees, order 0 one for the
+predicted id's frequency; they are summed, and each learns in the block from the sum's error. The rest of
+the chance is dealt to all ids by order 0: the frequencies of the whole file, kept in its header. One
+interval of the range coder codes both.
 
 All arithmetic is on integers, so every machine decodes alike. Blocks are coded in step as lanes of
 numpy arrays: Python's cost is for a step of all lanes, not for an id.
@@ -18,20 +20,25 @@ import numpy as np
 
 BLOCK = 2048
 #: Blocks coded in step.
-LANES = 1024
-_SLOTS = 2048
+LANES = 4096
+_SLOT_BITS = 10
 _ORDER0_BITS = 18
 _TOTAL = 1 << _ORDER0_BITS
 _SIZE = 1 << 16
 
-# 12-bit probabilities and their logits, in 1/256, as tables of integers
-_P = (np.arange(4096) + 0.5) / 4096
-_STRETCH = np.round(np.log(_P / (1 - _P)) * 256).astype(np.int32)
-_SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 16, 4080).astype(np.int32)
+#: 12-bit chances of logits in 1/256; in a block no sum of logits can leave the table.
+_ZERO = 1 << 14
+_SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-_ZERO, _ZERO) / 256))), 16, 4080).astype(np.int32)
+#: A slot is an id times 8 plus how sure it is, 0 for none yet.
+_SURE, _THREE, _ONE = np.uint32(7), np.uint32(3), np.uint32(1)
+_HASH1, _HASH2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+_SLOT = np.uint32(32 - _SLOT_BITS)
+#: Logits of a lane: 8 of order 2, 16 of order 1, 16 of order 0; their first values add up to a chance of a quarter.
+_LOGITS, _FIRST = 40, -94
+_RATE = 5
 
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_U16, _U12, _UB = np.uint64(16), np.uint64(12), np.uint64(_ORDER0_BITS)
-_LOW32 = np.uint64((1 << 32) - 1)
+_U32, _U12, _UB, _UNIT = np.uint64(32), np.uint64(12), np.uint64(_ORDER0_BITS), np.uint64(12 + _ORDER0_BITS)
+_DUE, _LOW32, _WHOLE = np.uint64(1 << 32), np.uint64((1 << 32) - 1), np.uint64(4096)
 
 
 def order0(ids: np.ndarray) -> np.ndarray:
@@ -49,142 +56,128 @@ class _Lanes:
     """Models and coder states of some blocks in step."""
 
     def __init__(self, n: int, freq: np.ndarray):
-        self.n, self.lane = n, np.arange(n)
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
-        self.logit0 = _STRETCH[np.clip(freq * 4096 // _TOTAL, 0, 4095)]
-        self.id2, self.id1 = np.zeros(n * _SLOTS, np.uint16), np.zeros(n * _SLOTS, np.uint16)
-        self.sure2, self.sure1 = np.zeros(n * _SLOTS, np.uint8), np.zeros(n * _SLOTS, np.uint8)
-        # probability that a prediction of this many hits in a row holds: order 2; order 1 alike or not
-        self.hit2, self.hit1 = np.full(n * 8, 1024, np.int32), np.full(n * 16, 1024, np.int32)
-        self.weights = np.tile(np.array([[1 << 15], [1 << 15], [1 << 13]], np.int32), (1, n))
+        self.rank = np.frexp(freq.astype(np.float64))[1].clip(0, 15).astype(np.int64)
+        lane = np.arange(n)
+        self.base = np.stack([lane, lane + n]) << _SLOT_BITS
+        self.slots = np.zeros(2 * n << _SLOT_BITS, np.uint32)
+        self.logits = np.full(n * _LOGITS, _FIRST, np.int32)
+        self.own = lane * _LOGITS + np.array([[0], [8], [24]])
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.context, self.before = np.zeros((2, n), np.uint32), np.zeros(n, np.uint32)
 
     def predict(self) -> None:
-        base = self.lane * _SLOTS
-        self.at2 = base + (((self.last * 40503 + self.before * 30011) >> 3) % _SLOTS)
-        self.at1 = base + (self.last * 40503 >> 3) % _SLOTS
-        p2, p1 = self.id2[self.at2], self.id1[self.at1]
-        c2, c1 = self.sure2[self.at2], self.sure1[self.at1]
-        self.guess = np.where(c2 > 0, p2, p1).astype(np.int64)
-        self.alike = p1 == self.guess
-        self.state2 = self.lane * 8 + c2
-        self.state1 = self.lane * 16 + c1 + 8 * self.alike
-        s = np.stack([_STRETCH[self.hit2[self.state2]], _STRETCH[self.hit1[self.state1]], self.logit0[self.guess]])
-        self.inputs = s
-        mixed = (self.weights * s).sum(axis=0) >> 16
-        self.chance = _SQUASH[np.clip(mixed + 2048, 0, 4095)]
+        # places are of the type that numpy indexes with
+        self.at = (self.context >> _SLOT).astype(np.int64)
+        self.at += self.base
+        self.held = self.slots[self.at]
+        self.sure, self.said = self.held & _SURE, self.held >> _THREE
+        guess = np.where(self.sure[0] > 0, self.said[0], self.said[1])
+        self.guess = guess.astype(np.int64)
+        self.state = self.own.copy()
+        self.state[:2] += self.sure
+        self.state[1] += (self.said[1] == guess) << 3
+        self.state[2] += self.rank[self.guess]
+        self.logit = self.logits[self.state]
+        total = self.logit[0] + self.logit[1]
+        total += self.logit[2]
+        self.chance = _SQUASH[total.astype(np.int64) + _ZERO]
+        self.wide = self.chance.astype(np.uint64)
+        self.unit = self.range >> _UNIT
+
+    def narrow(self, hit: np.ndarray, start: np.ndarray, freq: np.ndarray) -> np.ndarray:
+        """Narrow to the interval of a hit or of an id by order 0; where the interval began."""
+        first, rest = self.wide << _UB, _WHOLE - self.wide
+        begin = self.unit * np.where(hit, np.uint64(0), first + start * rest)
+        self.low += begin
+        self.range = self.unit * np.where(hit, first, freq * rest)
+        return begin
 
     def learn(self, hit: np.ndarray, ids: np.ndarray) -> None:
-        error = np.where(hit, 4096, 0) - self.chance
-        self.weights += (self.inputs * error + (1 << 9)) >> 10
-        np.clip(self.weights, -(1 << 18), 1 << 18, out=self.weights)
-        target = np.where(hit, 4095, 0)
-        h2, h1 = self.hit2[self.state2], self.hit1[self.state1]
-        self.hit2[self.state2] = h2 + ((target - h2) >> 5)
-        self.hit1[self.state1] = h1 + ((target - h1) >> 5)
-        for table, sure, at in ((self.id2, self.sure2, self.at2), (self.id1, self.sure1, self.at1)):
-            same = table[at] == ids
-            was = sure[at]
-            # a slot that fails loses its id at once if it was new, and its standing otherwise
-            sure[at] = np.where(same, np.minimum(was + 1, 7), np.where(was > 1, was >> 1, 1))
-            table[at] = np.where(same | (was > 1), table[at], ids)
-        self.before, self.last = self.last, ids
-
-    def narrow_flag(self, hit: np.ndarray) -> None:
-        part = (self.range >> _U12) * self.chance.astype(np.uint64)
-        self.low = np.where(hit, self.low, self.low + part)
-        self.range = np.where(hit, part, self.range - part)
+        error = hit * np.int32(4096)
+        error -= self.chance
+        error >>= _RATE
+        self.logits[self.state] = self.logit + error
+        # a slot that fails loses its id at once if it was new, and half its standing otherwise
+        ids = ids.astype(np.uint32)
+        stays = np.where(self.sure > _ONE, self.held - ((self.sure + _ONE) >> _ONE), (ids << _THREE) + _ONE)
+        self.slots[self.at] = np.where(self.said == ids, self.held + (self.sure < _SURE), stays)
+        self.context[1] = ids * _HASH1
+        np.add(self.context[1], self.before, out=self.context[0])
+        self.before = ids * _HASH2
 
     def due(self) -> np.ndarray:
-        """Lanes that must pass on 16 bits; where a carry could still come, the range is cut short."""
-        settled = (self.low ^ (self.low + self.range)) < _TOP
-        short = ~settled & (self.range < _BOTTOM)
-        if short.any():
-            self.range = np.where(short, (~self.low + np.uint64(1)) & _LOW32, self.range)
-        return np.flatnonzero(settled | short)
+        """Lanes that must pass on 32 bits; where a carry could still come, the range is cut short."""
+        i = np.flatnonzero(self.range < _DUE)
+        self.range[i] = np.minimum(self.range[i], _DUE - (self.low[i] & _LOW32))
+        return i
 
     def shift(self, i: np.ndarray) -> None:
-        self.low[i] <<= _U16
-        self.range[i] <<= _U16
+        self.low[i] <<= _U32
+        self.range[i] <<= _U32
 
 
 def encode_blocks(ids: np.ndarray, freq: np.ndarray) -> list[bytes]:
     """Payloads of the rows of ``ids`` [blocks, BLOCK]."""
     out: list[bytes] = []
     for k in range(0, len(ids), LANES):
-        part = ids[k : k + LANES].astype(np.int64)
-        m = _Lanes(len(part), freq)
-        words = np.zeros((len(part), 3 * BLOCK + 8), np.uint16)
-        filled = np.zeros(len(part), np.int64)
-
-        def flush() -> None:
-            while len(i := m.due()):
-                words[i, filled[i]] = (m.low[i] >> np.uint64(48)).astype(np.uint16)
-                filled[i] += 1
-                m.shift(i)
-
-        for t in range(part.shape[1]):
-            x = part[:, t]
+        part = np.ascontiguousarray(ids[k : k + LANES].T).astype(np.int64)
+        n = part.shape[1]
+        m = _Lanes(n, freq)
+        # an id takes 30 bits at most, so one word at most
+        words = np.zeros((n, BLOCK + 2), np.uint32)
+        filled = np.zeros(n, np.int64)
+        for x in part:
             m.predict()
             hit = m.guess == x
-            m.narrow_flag(hit)
-            flush()
-            miss = np.flatnonzero(~hit)
-            if len(miss):
-                unit = m.range[miss] >> _UB
-                m.low[miss] += unit * m.start[x[miss]]
-                m.range[miss] = unit * m.freq[x[miss]]
-                flush()
+            m.narrow(hit, m.start[x], m.freq[x])
+            i = m.due()
+            words[i, filled[i]] = (m.low[i] >> _U32).astype(np.uint32)
+            filled[i] += 1
+            m.shift(i)
             m.learn(hit, x)
-        for _ in range(4):
-            words[m.lane, filled] = (m.low >> np.uint64(48)).astype(np.uint16)
+        for _ in range(2):
+            words[np.arange(n), filled] = (m.low >> _U32).astype(np.uint32)
             filled += 1
-            m.low <<= _U16
-        out += [words[i, : filled[i]].astype("<u2").tobytes() for i in range(len(part))]
+            m.low <<= _U32
+        out += [words[i, : filled[i]].astype("<u4").tobytes() for i in range(n)]
     return out
 
 
 def decode_blocks(payloads: list[bytes], freq: np.ndarray) -> np.ndarray:
-    """Ids [blocks, BLOCK] of payloads."""
+    """Ids [blocks, BLOCK] of payloads; of damaged ones, some ids that their checksums tell from true ones."""
     found = np.zeros((len(payloads), BLOCK), np.uint16)
-    symbol = np.repeat(np.arange(_SIZE, dtype=np.int64), freq)
+    symbol = np.repeat(np.arange(_SIZE), freq)
     for k in range(0, len(payloads), LANES):
         part = payloads[k : k + LANES]
         n = len(part)
         m = _Lanes(n, freq)
-        sizes = np.array([len(p) // 2 for p in part])
-        words = np.zeros((n, sizes.max() + 4), np.uint64)
+        words = np.zeros((n, BLOCK + 3), np.uint64)
         for i, p in enumerate(part):
-            words[i, : sizes[i]] = np.frombuffer(p, "<u2")
-        code = np.zeros(n, np.uint64)
-        for j in range(4):
-            code = (code << _U16) | words[:, j]
-        at = np.full(n, 4)
-
-        def pull() -> None:
-            while len(i := m.due()):
-                m.shift(i)
-                code[i] = (code[i] << _U16) | words[i, np.minimum(at[i], words.shape[1] - 1)]
-                at[i] += 1
-
+            w = np.frombuffer(p[: 4 * (BLOCK + 2)], "<u4", len(p[: 4 * (BLOCK + 2)]) // 4)
+            words[i, : len(w)] = w
+        ahead = (words[:, 0] << _U32) | words[:, 1]  # the code less ``low``
+        at = np.full(n, 2)
+        steps = np.zeros((BLOCK, n), np.uint16)
         for t in range(BLOCK):
             m.predict()
-            hit = code - m.low < (m.range >> _U12) * m.chance.astype(np.uint64)
-            m.narrow_flag(hit)
-            pull()
-            x = m.guess.copy()
-            miss = np.flatnonzero(~hit)
-            if len(miss):
-                unit = m.range[miss] >> _UB
-                value = np.minimum((code[miss] - m.low[miss]) // np.maximum(unit, np.uint64(1)), np.uint64(_TOTAL - 1))
-                x[miss] = symbol[value.astype(np.int64)]
-                m.low[miss] += unit * m.start[x[miss]]
-                m.range[miss] = unit * m.freq[x[miss]]
-                pull()
+            value = ahead // m.unit
+            first = m.wide << _UB
+            hit = value < first
+            value -= first
+            value //= _WHOLE - m.wide
+            # where there is a hit the value is of no use, and of a damaged block it may be too large
+            by_order0 = symbol[np.minimum(value, np.uint64(_TOTAL - 1)).view(np.int64)]
+            x = np.where(hit, m.guess, by_order0)
+            ahead -= m.narrow(hit, m.start[x], m.freq[x])
+            i = m.due()
+            m.shift(i)
+            ahead[i] = (ahead[i] << _U32) | words[i, np.minimum(at[i], BLOCK + 2)]
+            at[i] += 1
             m.learn(hit, x)
-            found[k : k + n, t] = x
+            steps[t] = x
+        found[k : k + n] = steps.T
     return found
 
 
@@ -192,7 +185,7 @@ def decode_blocks(payloads: list[bytes], freq: np.ndarray) -> np.ndarray:
 # magic, then (u32 length, u32 crc32) and bytes of: the order-0 table, the documents, the block index;
 # then the payloads. The table is (u16 id, u32 frequency) of ids that occur; documents are (i64 id, u8
 # null, u32 n); the index is (u32 bytes, u32 crc32 of the block's ids, u32 ids) of each block.
-MAGIC = b"TSRC\x01"
+MAGIC = b"TSRC\x02"
 _DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")])
 _FREQ = np.dtype([("id", "<u2"), ("freq", "<u4")])
 _INDEX = np.dtype([("size", "<u4"), ("crc", "<u4"), ("n", "<u4")])

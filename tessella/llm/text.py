@@ -17,8 +17,8 @@ SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE2 = 0xC2B2AE3D27D4EB4F | 1
@@ -106,7 +106,7 @@ def word_hashes(part: Slice, found: Words, lower: bool, second: bool = False) ->
     """A 64-bit hash of each word's bytes; ``lower`` folds A-Z first, ``second`` takes other constants."""
     base, inverse = (_BASE2, _INVERSE2) if second else (_BASE, _INVERSE)
     n = len(part.data)
-    data = _LOWER[part.data] if lower else part.data
+    data = LOWER[part.data] if lower else part.data
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, n), out=sums[1:])
     raw = (sums[found.ends] - sums[found.starts]) * _powers(inverse, n + 1)[found.starts]

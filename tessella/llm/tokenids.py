@@ -14,26 +14,56 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import rangecoder
-from tessella.llm.text import slices
+from tessella.llm.text import LOWER, Slice, slices
 from tessella.session import shared_dir
 
 #: Distinct words whose ids a worker remembers, some 150 MB.
 REMEMBERED = 1 << 20
 
 
-def _folded(text: bytes) -> bytes:
-    """A-Z as a-z, as the vocabulary has it anyway, so that fewer words are distinct.
+#: Words that go through the library at a time, with a character between that no other word has.
+TOGETHER = 64
+_BETWEEN = "\x01"
 
-    Not in texts with a special token's bracket, which hold for one spelling only, or with combining marks: some
-    letters and marks are one character in lower case alone.
+# bytes: 1 letters and digits, 2 other signs of ASCII, but for the apostrophe, which can stand with the letters after it
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 2
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+_KIND[39] = 0
+
+
+def _is_plain(word: str) -> bool:
+    return word.isascii() and word.isalpha() and word.islower()
+
+
+def _parted(part: Slice) -> pa.LargeStringArray:
+    """The texts of a slice with A-Z as a-z, and with a space wherever a letter or digit meets another sign.
+
+    The vocabulary has lower case alone and no pieces over such places, so ids stay the same and fewer words are
+    distinct. Texts with a special token's bracket, which hold for one spelling only, or with combining marks stay as
+    they are: some letters and marks are one character in lower case alone.
     """
-    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
+    data, offsets = part.data, part.offsets
+    odd = np.flatnonzero((data == 0xCC) | (data == 0xCD) | ((data == 60) & (np.append(data[1:], 0)[: len(data)] == 124)))
+    same = np.zeros(len(offsets), bool)
+    same[np.searchsorted(offsets, odd, "right") - 1] = True
+    kind = _KIND[data]
+    cuts = np.flatnonzero((kind[1:] ^ kind[:-1]) == 3) + 1
+    data = LOWER[data]
+    if len(odd):
+        cuts = cuts[~same[np.searchsorted(offsets, cuts, "right") - 1]]
+        for i in np.flatnonzero(same).tolist():
+            data[offsets[i] : offsets[i + 1]] = part.data[offsets[i] : offsets[i + 1]]
+    data = np.insert(data, cuts, np.uint8(32))
+    offsets = offsets + np.searchsorted(cuts, offsets, "left")
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
 
 
 class WordTokens:
@@ -49,35 +79,67 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.core = Tokenizer.from_file(path)
+        (self.between,) = self.core.encode(_BETWEEN, add_special_tokens=False).ids
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[str, int] = {}
         self.flat, self.offsets = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of each text's ids); ``end`` follows each text."""
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of words in a row, number of each word's ids); words of a-z alone, all of which are one piece, come first."""
+        plain = sum(map(_is_plain, words))
+        tokens = [[t.id for t in self.core.model.tokenize(w)] for w in words[:plain]]
+        ids, sizes = self._encode_any(words[plain:])
+        plain_ids = np.array([i for t in tokens for i in t], np.uint16)
+        return np.concatenate([plain_ids, ids]), np.concatenate([np.array([len(t) for t in tokens], np.int64), sizes])
+
+    def _encode_any(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not words:
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        batches = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        joined = [f" {_BETWEEN} ".join(batch) for batch in batches]
+        for batch, text in zip(batches, joined):
+            if text.count(_BETWEEN) == len(batch) - 1:
+                got = np.array(self.core.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+                ends = np.append(np.flatnonzero(got == self.between), len(got))
+                ids.append(got[got != self.between])
+                sizes.append(np.diff(ends, prepend=-1) - 1)
+            else:
+                each = [self.core.encode(w, add_special_tokens=False).ids for w in batch]
+                ids.append(np.array([i for e in each for i in e], np.uint16))
+                sizes.append(np.array([len(e) for e in each]))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def encode(self, part: Slice, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a slice in a row, number of each text's ids); ``end`` follows each text."""
         if len(self.index) > REMEMBERED:
             self._forget()
-        split = [_folded(t.encode()).split() for t in texts]
-        every: list[bytes] = []
-        for ws in split:
-            every += ws
-        fresh = list(dict.fromkeys(w for w in every if w not in self.index))
+        split = pc.ascii_split_whitespace(_parted(part))
+        every = split.values.dictionary_encode()
+        distinct = every.dictionary.to_pylist()
+        fresh = [w for w in distinct if w not in self.index]
         if fresh:
-            got = [e.ids for e in self.core.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)]
+            fresh.sort(key=_is_plain, reverse=True)
+            ids, sizes = self._encode(fresh)
             self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh))))
-            self.flat = np.concatenate([self.flat, np.array([i for ids in got for i in ids], np.uint16)])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(ids) for ids in got])])
-        word = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+            self.flat = np.concatenate([self.flat, ids])
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+        known = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
+        word = known[every.indices.to_numpy()]
         size = self.offsets[word + 1] - self.offsets[word]
-        per_text = np.array([len(ws) for ws in split], np.int64)
-        edge = np.concatenate([[0], np.cumsum(per_text)])
         run = np.concatenate([[0], np.cumsum(size)])
+        edge = split.offsets.to_numpy()
         count = run[edge[1:]] - run[edge[:-1]]
-        at = np.arange(run[-1]) - np.repeat(run[:-1], size) + np.repeat(self.offsets[word], size)
-        ids = np.full(run[-1] + len(texts), end, np.uint16)
-        ids[np.arange(run[-1]) + np.repeat(np.arange(len(texts)), count)] = self.flat[at]
+        at = np.repeat(self.offsets[word] - run[:-1], size)
+        at += np.arange(run[-1])
+        after = np.cumsum(count + 1)
+        ids = np.full(after[-1], end, np.uint16)
+        inner = np.ones(len(ids), bool)
+        inner[after - 1] = False
+        ids[inner] = self.flat[at]
         return ids, count + 1
 
 
@@ -104,9 +166,9 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end: int = 1, id_col: s
         documents, ids = [], []
         for batch in batches:
             keys = batch.column(0)
-            for part in slices(batch.column(1), 1 << 22):
+            for part in slices(batch.column(1), 1 << 24):
                 own = keys.slice(part.first, part.last - part.first)
-                got, count = coder.encode(batch.column(1).slice(part.first, part.last - part.first).to_pylist(), end)
+                got, count = coder.encode(part, end)
                 doc = np.zeros(len(count), rangecoder._DOC)
                 doc["id"], doc["null"], doc["n"] = own.fill_null(0).to_numpy(zero_copy_only=False), own.is_null().to_numpy(zero_copy_only=False), count
                 documents.append(doc)

@@ -11,7 +11,7 @@ import pytest
 
 from compare import connect, differences
 import corpus_pipeline
-from tessella.llm import brown, bytepair, graph, imatch, lines, minhash, mixing, neighbours, rangecoder, registry, substrings, tokenids, toxicity
+from tessella.llm import brown, bytepair, graph, imatch, lines, minhash, mixing, neighbours, rangecoder, registry, substrings, text, tokenids, toxicity
 
 ODD = [
     (3, None, "b", 1), (5, "", "a", 2), (None, "some words of a row that has no id at all", "a", 3), (7, "same text twice here " * 12, None, 4),
@@ -62,9 +62,10 @@ def test_words_have_the_ids_of_whole_texts():
     path = P.path("word_bpe_49k.json")
     core, own = Tokenizer.from_file(path), tokenids.WordTokens(path)
     rng = np.random.default_rng(6)
-    bits = ["a", "Zé", "e\u0301", "<|endoftext|>", "<|startoftext|>", "'s", "\u3000", "\u00a0", "\x0b", "\n", " ", "  ", "12", "Σ", "ΑΣ", "İ", "한국", "\U0001f600", "-", "_", "\u0301"]
-    texts = ["hello <|endoftext|> world", "x<|endoftext|>y", ""] + ["".join(rng.choice(bits, rng.integers(1, 12))) for _ in range(3000)]
-    ids, count = own.encode(texts, 1)
+    bits = ["a", "Zé", "e\u0301", "<|endoftext|>", "<|startoftext|>", "'s", "\u3000", "\u00a0", "\x0b", "\n", " ", "  ", "12", "Σ", "ΑΣ", "İ", "한국", "\U0001f600", "-", "_", "\u0301", "\x01", "'", "a'S", "A", ",", "<|", "=\u0338"]
+    texts = ["hello <|endoftext|> world", "x<|endoftext|>y", ""] + ["".join(rng.choice(bits, rng.integers(1, 12))) for _ in range(20000)]
+    got = [own.encode(part, 1) for part in text.slices(pa.array(texts))]
+    ids, count = (np.concatenate(c) for c in zip(*got))
     at = np.concatenate([[0], np.cumsum(count)])
     for k, e in enumerate(core.encode_batch(texts, add_special_tokens=False)):
         assert ids[at[k] : at[k + 1]].tolist() == e.ids + [1], texts[k]
