@@ -219,6 +219,20 @@ def test_lines_longer_than_a_lane(spark):
     assert got[1] == rows[0][1] and got[2] == got[3] == ""
 
 
+def test_long_lines_are_compared_as_a_whole(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(600)]
+    other, at = list(words), {len(w): i for i, w in enumerate(words[:-1])}
+    for n in (2, 3, 4, 5, 6):  # no kind of pieces has as many in both
+        other[at[n]] += "q" * 8
+    far = ["".join(rng.permutation(list(w))) if i % 3 else w for i, w in enumerate(words)]
+    line, near, far = " ".join(words), " ".join(other), " ".join(words[:1] + far[1:])
+    assert len(line) > lines.LONGEST
+    rows = [(1, line), (2, near), (3, far)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: line, 2: "", 3: far}
+
+
 def test_mix_meets_targets(docs, odd, empty):
     rows = mixing.mix(docs).collect()
     for source in {r["source"] for r in rows}:
