@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from compare import connect, differences
 import corpus_pipeline
@@ -233,6 +234,42 @@ def test_long_lines_are_compared_as_a_whole(spark):
     assert got == {1: line, 2: "", 3: far}
 
 
+def test_bounds_on_edits_lose_no_near_line(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(300):
+        line = "".join(rng.choice(list(" aeéz山😀q"), rng.integers(10, 400)))
+        other, left = list(line), len(line) // 11
+        while left:
+            p, c, kind = rng.integers(len(other)), str(rng.choice(list(" aeéz山😀q"))), rng.integers(3)
+            other[p : p + int(kind != 1)] = [c] * int(kind != 2)
+            left -= 1
+        rows += [(i, line, "".join(other))]
+    pairs = spark.createDataFrame(rows, "id int, line_a string, line_b string")
+    sides = [pairs.select("id", F.length(c).alias("size"), *lines._counts(c)).alias(s) for c, s in (("line_a", "x"), ("line_b", "y"))]
+    may = sides[0].join(sides[1], F.col("x.id") == F.col("y.id")).where(lines._may(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
+    close = F.expr("levenshtein(line_a, line_b, cast(greatest(length(line_a), length(line_b)) div 10 as int)) >= 0")
+    want = {r["id"] for r in pairs.where(close).select("id").collect()}
+    assert len(want) > 250 and want <= {r["id"] for r in may.select("x.id").collect()}
+    assert want <= {r["id"] for r in pairs.where(F.expr(lines._runs_allow())).select("id").collect()}
+
+
+def test_lines_of_common_words_make_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    common = ["about", "because", "nothing", "whether", "without"]
+    rows = [(i, " ".join(rng.permutation(common + ["".join(rng.choice(list("bcdfgklmpqvxyz"), 4)) for _ in range(6)]))) for i in range(200)]
+    made, verify = [], lines.graph.link_blocks
+
+    def counted(members, check, may):
+        made.append(lines.graph._crossing(members.withColumn("component", F.col("id")), may).distinct().count())
+        made.append(lines.graph._crossing(members.withColumn("component", F.col("id")), lambda a, b: F.lit(True)).distinct().count())
+        return verify(members, check, may)
+
+    monkeypatch.setattr(lines.graph, "link_blocks", counted)
+    lines.duplicate_lines(spark.createDataFrame(rows, "doc long, text string")).count()
+    assert made[0] * 5 < made[1]
+
+
 def test_mix_meets_targets(docs, odd, empty):
     rows = mixing.mix(docs).collect()
     for source in {r["source"] for r in rows}:
