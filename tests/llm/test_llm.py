@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from compare import connect, differences
 import corpus_pipeline
 from tessella.llm import brown, bytepair, graph, imatch, lines, minhash, mixing, neighbours, rangecoder, registry, substrings, text, tokenids, toxicity
+from tessella.session import materialize
 
 ODD = [
     (3, None, "b", 1), (5, "", "a", 2), (None, "some words of a row that has no id at all", "a", 3), (7, "same text twice here " * 12, None, 4),
@@ -270,6 +271,39 @@ def test_lines_of_common_words_make_no_pairs(spark, monkeypatch):
     assert made[0] * 5 < made[1]
 
 
+def test_cheap_checks_say_what_whole_lines_say(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(400):
+        words = ["".join(rng.choice(list("abcdeéz山"), rng.integers(1, 7))) for _ in range(rng.integers(1, 70))]
+        if i % 4 == 0:
+            words = list(rng.choice(words[:3], len(words)))  # the same words again and again
+        other = list(words)
+        for _ in range(rng.integers(0, 2 + len(words) // 8)):
+            p, kind = rng.integers(len(other) + 1), rng.integers(3)
+            other[p : p + int(kind != 1)] = ["".join(rng.choice(list("abcz"), 3))] * int(kind != 2)
+        rows.append((i, " ".join(words), " ".join(other)))
+    rows += [(400, "a b c d e f g h i j", "a b c d e f g h i j k"), (401, "one two three four five", "one two three four five s"), (402, "aaaaaaaaa b b b", "aaaaaaaaa b b")]
+    pairs = spark.createDataFrame(rows, "id int, line_a string, line_b string")
+    true = "levenshtein(line_a, line_b, cast(greatest(length(line_a), length(line_b)) div 10 as int)) >= 0"
+    step = f"transform({lines._MIDDLE}, m -> {lines._in_step()})[0]"
+    got = pairs.select(F.expr(true).alias("near"), F.expr(lines._SIMILAR).alias("similar"), F.expr(step).alias("step")).collect()
+    assert all(r["near"] == r["similar"] and (r["near"] or not r["step"]) for r in got)
+    assert 100 < sum(r["near"] for r in got) < 350 and sum(r["step"] for r in got) > 60
+
+
+def test_the_loop_over_pairs_is_short_enough_to_be_compiled(spark):
+    line = spark.range(9).select("id", F.lit(1).alias("block"), F.lit("some line").alias("line")).withColumn("size", F.length("line"))
+    members = line.select("block", "id", "size", *lines._counts("line"))
+    members = materialize(members).withColumn("component", F.col("id"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # plans are made at once
+    plans = graph._crossing(members.hint("merge"), lines._may)._jdf.queryExecution().debug().codegenToSeq()
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [plans.apply(i)._3().maxMethodCodeSize() for i in range(plans.size())]
+    assert sizes and max(sizes) < 8000  # the JVM interprets longer ones
+
+
 def test_mix_meets_targets(docs, odd, empty):
     rows = mixing.mix(docs).collect()
     for source in {r["source"] for r in rows}:
