@@ -304,6 +304,20 @@ def test_the_loop_over_pairs_is_short_enough_to_be_compiled(spark):
     assert sizes and max(sizes) < 8000  # the JVM interprets longer ones
 
 
+def test_no_pair_of_a_larger_block_is_verified_twice(spark):
+    members = spark.range(60).crossJoin(spark.range(3).toDF("block")).select("block", "id")
+    seen = []
+
+    def verify(pairs):
+        seen.extend((r["a"], r["b"]) for r in pairs.collect())
+        return pairs.where("a + 1 = b and b < 4")
+
+    got = graph.link_blocks(members, verify, lambda a, b: F.lit(True)).collect()
+    linked = {(a, b) for a in range(4) for b in range(4)}
+    assert {(r["id"], r["component"]) for r in got} == {(i, 0) for i in range(4)}
+    assert len(seen) == len(set(seen)) and {(a, b) for a in range(60) for b in range(a + 1, 60)} - set(seen) <= linked
+
+
 def test_mix_meets_targets(docs, odd, empty):
     rows = mixing.mix(docs).collect()
     for source in {r["source"] for r in rows}:
