@@ -105,6 +105,22 @@ def test_forest_finds_most_neighbours_and_fills_up(spark):
     assert len(want & {(r["i"], r["j"]) for r in found}) / len(want) > 0.6
 
 
+@pytest.mark.parametrize("side", [1 << 20, 100])
+def test_exact_neighbours_pass_no_blocks_on(spark, monkeypatch, side):
+    monkeypatch.setattr(knn, "ROWS", 32)
+    monkeypatch.setattr(knn, "PIECE", 40)
+    monkeypatch.setattr(knn, "SIDE", side)
+    x = np.random.default_rng(4).integers(0, 3, (330, 4)).astype(float)
+    x[100:250] = x[0]  # more equal rows than neighbours
+    got = knn.exact_knn(spark.createDataFrame([(5 * i, row) for i, row in enumerate(x.tolist())], "id long, f array<double>"), 7)
+    plan = got._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+    d2 = ((x[:, None] - x) ** 2).sum(axis=2)
+    np.fill_diagonal(d2, np.inf)
+    want = {(5 * i, 5 * int(j), r + 1, d2[i, j]) for i in range(330) for r, j in enumerate(np.lexsort((np.arange(330), d2[i]))[:7])}
+    assert {(r["i"], r["j"], r["rank"], r["d2"]) for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("split", ["median", "quantile"])
 def test_equal_vectors_are_split_too(spark, split):
     rows = [(i, [1.0, 2.0, 3.0, 4.0] if i < 400 else [float(i % 7), float(i % 11), float(i % 13), 0.5]) for i in range(600)]
