@@ -7,6 +7,7 @@ import warnings
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import ROOT
 from compare import connect, differences
@@ -153,6 +154,18 @@ def test_plans_of_repulsion_agree(spark, dims):
     assert abs(total / z - 1) < 1e-3 and np.abs(f - force).max() < 1e-3 * np.abs(force).max()
 
 
+def test_exact_repulsion_is_dealt_over_tasks(spark):
+    y = np.random.default_rng(2).standard_normal((2500, 2))
+    y[7] = y[2400]
+    got = forces.exact_repulsion(spark.createDataFrame([(3 * i, *row) for i, row in enumerate(y.tolist())], "id long, y0 double, y1 double"), 2)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    rows = got.withColumn("task", F.spark_partition_id()).orderBy("id").collect()
+    assert [r["id"] for r in rows] == [3 * i for i in range(2500)]
+    assert np.bincount([r["task"] for r in rows]).max() < 1100  # one task had them all
+    force, z = kernels.exact_repulsion(y)
+    assert np.allclose([[r["f0"], r["f1"]] for r in rows], force, rtol=0, atol=1e-9) and np.isclose(sum(r["z"] for r in rows), z)
+
+
 def test_start_follows_earlier_neighbours(spark):
     rng = np.random.default_rng(8)
     y = rng.standard_normal((30, 2))
