@@ -179,6 +179,25 @@ def test_start_follows_earlier_neighbours(spark):
     assert all(np.allclose((r["y0"], r["y1"]), want[r["id"] // 3]) for r in got.collect())
 
 
+def test_start_reads_rows_as_they_come(spark):
+    rng = np.random.default_rng(9)
+    y = rng.standard_normal((40, 2))
+    edges = [(i, j, float(rng.random())) for i in range(40) for j in rng.choice(40, 5, replace=False).tolist() if i != j and i % 9]
+    table = spark.createDataFrame([(7 * i, *row) for i, row in enumerate(y.tolist())], "id long, y0 double, y1 double").repartition(6)
+    got = layout.smart_layout(table, spark.createDataFrame([(7 * i, 7 * j, p) for i, j, p in edges], "i long, j long, p double"), 2)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().analyzed().toString()  # which hold all rows and their edges at once
+    want = {}
+    for i in range(40):
+        before = [(p, want[j]) for a, j, p in edges if a == i and j < i]
+        want[i] = y[i] if not before else y[i] / 40**0.5 + sum(p * w for p, w in before) / sum(p for p, _ in before)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        rows = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == 40 and all(np.allclose((r["y0"], r["y1"]), want[r["id"] // 7]) for r in rows)
+
+
 def test_queries_without_optional_libraries():
     code = "import sys; sys.modules['tiktoken'] = sys.modules['tokenizers'] = sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     said = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout.split()
