@@ -132,6 +132,21 @@ def test_equal_vectors_are_split_too(spark, split):
     assert max(sizes) < 120
 
 
+def test_large_segments_are_split_by_aggregation(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((701, 8))
+    x[100:420] = x[0]  # medians among equal projections
+    rows = [(int(i), row) for i, row in zip(rng.permutation(701) * 3, x.tolist())]
+    m = spark.createDataFrame(rows, "id long, f array<double>").repartition(3)
+    whole = sorted(forest.trees(m, 701, 10, Forest(trees=5), "median").collect())
+    monkeypatch.setattr(forest, "SEGMENT", 60)
+    monkeypatch.setattr(forest, "DEALT", 701 * 8 * 16 * 2)  # two trees at once
+    got = forest.trees(m, 701, 10, Forest(trees=5), "median")
+    assert "Window" not in got._jdf.queryExecution().toString()  # which held a tree's vectors in one task
+    assert sorted(got.collect()) == whole
+    assert max(r["n"] for r in got.groupBy("tree", "node").agg(F.count("*").alias("n")).collect()) < 20
+
+
 @pytest.mark.parametrize("spread, want", [(10.0, 50), (50.5, 50), (51.0, 55), (131.0, 140), (199.0, 200), (250.0, 250)])
 def test_box_counts(spark, spread, want):
     y = spark.createDataFrame([(0, 0.0, 1.0), (1, spread, 0.5)], "id long, y0 double, y1 double")
