@@ -147,6 +147,22 @@ def test_large_segments_are_split_by_aggregation(spark, monkeypatch):
     assert max(r["n"] for r in got.groupBy("tree", "node").agg(F.count("*").alias("n")).collect()) < 20
 
 
+def test_forest_takes_distances_where_vectors_are(spark, monkeypatch):
+    x = np.random.default_rng(7).integers(0, 4, (400, 6)).astype(float)
+    m = spark.createDataFrame([(2 * i, row) for i, row in enumerate(x.tolist())], "id long, f array<double>").repartition(3)
+    f = Forest(trees=6)
+    want = knn.top_k(knn.distances(forest.candidates(forest.trees(m, 400, f.leaf(20), f)), m), 20)
+    want = {(r["i"], r["j"], r["d2"], r["rank"]) for r in want.collect()}
+    asked = []
+    monkeypatch.setattr(knn, "distances", lambda pairs, m, real=knn.distances: asked.append(pairs.count()) or real(pairs, m))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        got = {(r["i"], r["j"], r["d2"], r["rank"]) for r in forest.forest_knn(m, 20, f).collect()}
+    count = lambda pairs: np.bincount([p[0] // 2 for p in pairs], minlength=400)
+    assert sum(asked) == (20 - count(want)).sum()  # random ones only: all candidates were joined with two vectors each
+    assert (count(got) == 20).all() and all(got >= {p for p in want if p[0] == i} for i in 2 * np.flatnonzero(count(want) == 20))
+
+
 @pytest.mark.parametrize("spread, want", [(10.0, 50), (50.5, 50), (51.0, 55), (131.0, 140), (199.0, 200), (250.0, 250)])
 def test_box_counts(spark, spread, want):
     y = spark.createDataFrame([(0, 0.0, 1.0), (1, spread, 0.5)], "id long, y0 double, y1 double")
