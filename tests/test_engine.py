@@ -163,6 +163,19 @@ def test_forest_takes_distances_where_vectors_are(spark, monkeypatch):
     assert (count(got) == 20).all() and all(got >= {p for p in want if p[0] == i} for i in 2 * np.flatnonzero(count(want) == 20))
 
 
+def test_tasks_of_candidates_follow_their_number(spark, monkeypatch):
+    x = np.random.default_rng(5).standard_normal((300, 5))
+    m = spark.createDataFrame(list(enumerate(x.tolist())), "id long, f array<double>").repartition(3)
+    rows = forest.trees(m, 300, 4, Forest(trees=2))
+    few = forest.candidates(rows)
+    fill = sorted(forest.random_fill(m, few, 300, 20).collect())
+    monkeypatch.setattr(forest, "TASK_PAIRS", 100)
+    many = forest.candidates(rows)
+    assert (many.rdd.getNumPartitions(), sorted(many.collect())) == (300 * 2 * 8 // 100 + 1, sorted(few.collect()))
+    got = forest.random_fill(m, many, 300, 20)
+    assert (got.rdd.getNumPartitions(), sorted(got.collect())) == (300 * 21 // 100 + 1, fill)
+
+
 @pytest.mark.parametrize("spread, want", [(10.0, 50), (50.5, 50), (51.0, 55), (131.0, 140), (199.0, 200), (250.0, 250)])
 def test_box_counts(spark, spread, want):
     y = spark.createDataFrame([(0, 0.0, 1.0), (1, spread, 0.5)], "id long, y0 double, y1 double")
