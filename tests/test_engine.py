@@ -15,7 +15,7 @@ from tessella.config import Affinities, Config, Forest, Gradient, Initialization
 from tessella.functions import kernels
 from tessella.functions.schedule import Schedule, schedule_table
 from tessella.operators import cells, forces, forest, grid, knn, layout, normalize
-from tessella.plans import registry
+from tessella.plans import reducer, registry
 from tessella.plans.reducer import Reducer
 from tessella.sources import matrix
 
@@ -68,6 +68,21 @@ def test_plan_per_step_equals_loop_in_one_task(spark):
     assert all(np.allclose(a[i], b[i], atol=1e-6) for i in a)
 
 
+@pytest.mark.parametrize("method, dims, smart", [("fft", 2, True), ("barnes_hut", 3, False), ("exact", 1, False), ("auto", 2, False)])
+def test_tasks_of_a_gang_equal_one_task(spark, monkeypatch, method, dims, smart):
+    config = Config(initialization=Initialization(smart=smart, seed=1), affinities=Affinities(perplexity=5.0), gradient=Gradient(iterations=4, method=method))
+    df = clusters(spark, 90)
+    if method == "auto":  # which of them is the faster is settled here
+        monkeypatch.setattr(reducer.kernels, "TRIES", 10)
+    a = {r["id"]: [r[f"y{k}"] for k in range(dims)] for r in Reducer(config).reduce(df, dims).collect()}
+    monkeypatch.setattr(reducer, "ALONE", 50)
+    monkeypatch.setattr(reducer, "EACH", 30)
+    monkeypatch.setattr(Reducer, "_distributed", None)  # a plan for each step took all the time
+    b = {r["id"]: [r[f"y{k}"] for k in range(dims)] for r in Reducer(config).reduce(df, dims).collect()}
+    assert reducer.gang_size(spark, 90) == 3 and len(b) == 90
+    assert all(np.allclose(a[i], b[i], atol=1e-9) for i in a)
+
+
 @pytest.mark.parametrize("method, steps, want", [("exact", 2, ["exact"] * 2), ("barnes_hut", 1, ["barnes_hut"]), ("auto", 3, ["barnes_hut", "fft", "fft"])])
 def test_plan_per_step_takes_the_method(spark, monkeypatch, method, steps, want):
     called = []
