@@ -42,6 +42,39 @@ def test_barnes_hut_takes_equal_points():
     assert np.allclose(f, g) and np.isclose(z, w)
 
 
+@pytest.mark.parametrize("dims", [1, 2, 3])
+def test_barnes_hut_of_own_rows(monkeypatch, dims):
+    y = np.random.default_rng(dims).standard_normal((240, dims))
+    y[50:70] = y[3]
+    force, z = kernels.barnes_hut(y)
+    monkeypatch.setattr(kernels, "DESCEND", 50)
+    parts = [kernels.barnes_hut(y, own=own) for own in (slice(0, 90), slice(90, 91), slice(91, 240))]
+    assert np.array_equal(np.concatenate([f for f, _ in parts]), force) and np.isclose(sum(p for _, p in parts), z)
+    for at in (5, 60, 200):  # the descent itself, a cell after the other
+        assert np.allclose(_descend(y, at), force[at])
+
+
+def _descend(y, at, condition=0.5):
+    dims, size = y.shape[1], 2 * np.abs(y).max()
+    bits = {1: 31, 2: 31, 3: 20}[dims]
+    code = kernels.morton_codes(y, size, bits)
+    total, cells = np.zeros(dims), [(0, np.arange(len(y)))]
+    while cells:
+        level, members = cells.pop()
+        gap = y[at] - y[members].mean(axis=0)
+        half = size / 2 / (1 << level)
+        if len(members) == 1 or half * half < condition**2 * (gap @ gap):
+            total += len(members) / (1 + gap @ gap) ** 2 * gap
+        elif level == bits:
+            for j in members:
+                gap = y[at] - y[j]
+                total += gap / (1 + gap @ gap) ** 2
+        else:
+            below = code[members] >> (dims * (bits - level - 1))
+            cells += [(level + 1, members[below == c]) for c in np.unique(below)]
+    return total
+
+
 def clusters(spark, n=200):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((5, 16)) * 2
