@@ -154,6 +154,15 @@ def test_forest_finds_most_neighbours_and_fills_up(spark):
     assert len(want & {(r["i"], r["j"]) for r in found}) / len(want) > 0.6
 
 
+def test_symmetric_graph_finds_neighbours_once(spark):
+    m = spark.createDataFrame([(i, [float(i % 5), float(i % 7)]) for i in range(60)], "id long, f array<double>")
+    near = knn.exact_knn(m, 4)
+    got = knn.symmetric(near)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    edges = {(r["i"], r["j"], r["d2"]) for r in near.collect()}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(edges | {(j, i, d2) for i, j, d2 in edges})
+
+
 @pytest.mark.parametrize("side", [1 << 20, 100])
 def test_exact_neighbours_pass_no_blocks_on(spark, monkeypatch, side):
     monkeypatch.setattr(knn, "ROWS", 32)
